@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing
+from quire.llm import mixing, pii, url_filter
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.query(table(spark, sf_dir, "pages"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op8_mix": op8_mix}
+QUERIES: dict[str, Query] = {
+    "op2_url_templates": op2_url_templates,
+    "op3_pii": op3_pii,
+    "op8_mix": op8_mix,
+}
 ORACLE_SQL: dict[str, str] = {"op8_mix": mixing.ORACLE_SQL}
