@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import licenses, mixing, pii, url_filter
+from quire.llm import jpeg, licenses, mixing, pii, url_filter
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(table(spark, sf_dir, "documents"))
 
 
+def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.query(table(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.query(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_url_templates": op2_url_templates,
     "op3_pii": op3_pii,
+    "op4_jpeg": op4_jpeg,
     "op5_licenses": op5_licenses,
     "op8_mix": op8_mix,
 }
