@@ -122,8 +122,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     out[stop], out[stop + 1] = 0xFF, marker
     begin = np.append(0, stop + 2)
     whole = out.tobytes()
-    return [header(n) + whole[begin[f] : begin[f + n]] for f, n in zip(first.tolist(), images, strict=True)]
-    return [header(n) + whole[begin[f] : begin[f + n]] for f, n in zip(first.tolist(), images, strict=True)]
+    return [header(n) + whole[begin[f] : begin[f + n]] for f, n in zip(first.tolist(), images.tolist(), strict=True)]
 
 
 @dataclass
