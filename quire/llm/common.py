@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -42,6 +44,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def worker_memory() -> dict:
+    """What a Python worker keeps from task to task: only what any task could make again."""
+    return sys.modules.setdefault("_quire_worker_memory", types.ModuleType("_quire_worker_memory")).__dict__
+
+
 def salted_join(many: DataFrame, few: DataFrame, on: Sequence[str], how: str, salt_by: Sequence[Column], salts: int = 32) -> DataFrame:
     """Join on keys of which one may hold a third of the rows of ``many``.
 

@@ -21,6 +21,7 @@ null ids are kept; an empty table gives an empty table. Only the named columns a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, map_texts
+from quire.llm.common import durable, map_texts, worker_memory
 
 CAPACITY = 4096
 END_ID = 1
@@ -39,17 +40,19 @@ GROUPS = 12
 LARGE_SHARE = 8
 BUCKETS = 64
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks of text whose ids a task remembers; it forgets them all beyond that.
-REMEMBERED = 400_000
+#: Chunks, and words, whose ids a worker remembers; what comes beyond is forgotten after its batch.
+REMEMBERED = 300_000
 
 
 class Tokens:
     """Token ids of texts, as little-endian 32-bit numbers.
 
-    The tokenizer's merges never cross a space, so it is run on what stands between spaces, once for each distinct chunk.
+    The tokenizer's merges never cross a space, nor the border between letters and ASCII punctuation, and it lowers case:
+    so it is run on the distinct lower-case words within what stands between spaces, and on other chunks as they are.
     """
 
     MARK = "~"
+    WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, file: str) -> None:
         import os
@@ -64,45 +67,61 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
         self.mark = self._encode(self.MARK)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if self.MARK not in c]
-        for c in chunks:
-            if self.MARK in c:
-                self.known[c] = self._encode(c).tobytes()
+    def _learn_words(self, words: list[str]) -> None:
+        plain = [w for w in words if self.MARK not in w]
+        for w in words:
+            if self.MARK in w:
+                self.words[w] = self._encode(w).tobytes()
         for i in range(0, len(plain), 4096):
             some = plain[i : i + 4096]
             ids = self._encode(f" {self.MARK} ".join(some))
             ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)) * 4
             raw, at = ids.tobytes(), 0
-            for c, end in zip(some, ends.tolist(), strict=True):
-                self.known[c] = raw[at:end]
+            for w, end in zip(some, ends.tolist(), strict=True):
+                self.words[w] = raw[at:end]
                 at = end + 4
 
+    def _split(self, chunk: str) -> tuple[str, str]:
+        """A word and the punctuation after it, or the chunk and nothing."""
+        m = self.WORD.fullmatch(chunk)
+        if m is None:
+            return chunk, ""
+        word, rest = m.groups()
+        # Beyond Latin, lowering a word and lowering its letters can differ.
+        return (word.lower() if word.isascii() or (max(word) < "\u0180" and "\u0130" not in word) else word), rest
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*chunks).difference(self.known)
-        if fresh:
-            self._learn(list(fresh))
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        fresh = list(set().union(*chunks).difference(self.known))
+        split = [self._split(c) for c in fresh]
+        new = list({w for pair in split for w in pair}.difference(self.words))
+        self._learn_words(new)
+        words = self.words
+        self.known.update(zip(fresh, [words[w] + words[rest] for w, rest in split], strict=True))
+        out = [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        for held, added in ((self.known, fresh), (words, new)):
+            if len(held) > REMEMBERED:
+                for c in added:
+                    del held[c]
+        return out
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32 and, if asked for, ids binary), one row a piece."""
     end = np.array([END_ID], "<u4").tobytes()
-    held: list[Tokens] = []
 
     def run(texts: list[str]) -> list[pa.Array]:
-        if not held:
-            held.append(Tokens(tokenizer))
+        held = worker_memory()
+        if tokenizer not in held:
+            held[tokenizer] = Tokens(tokenizer)
         rows = []
-        for ids in held[0](texts):
+        for ids in held[tokenizer](texts):
             ids += end
             cut = [ids[a : a + 4 * capacity] for a in range(0, len(ids), 4 * capacity)]
             rows.append([{"piece": i, "start": i * capacity, "length": len(c) // 4, "ids_crc32": zlib.crc32(c)} | ({"ids": c} if with_ids else {}) for i, c in enumerate(cut)])
