@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import fingerprints, jpeg, licenses, mixing, packing, pii, url_filter, warc
+from quire.llm import fingerprints, jpeg, licenses, mixing, near_duplicates, packing, pii, url_filter, warc
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.query(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.query(table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op3_pii": op3_pii,
     "op4_jpeg": op4_jpeg,
     "op5_licenses": op5_licenses,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_pack": op7_pack,
     "op8_mix": op8_mix,
     "op9_warc": op9_warc,
