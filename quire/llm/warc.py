@@ -45,8 +45,11 @@ def base32(sha1_hex: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", text_col: str = "html", url_col: str = "url", least: int = 0) -> None:
-    """One record for each row, under ``path``."""
+def write(pages: DataFrame, path: str, id_col: str = "page_id", text_col: str = "html", url_col: str = "url", least: int = 0, compression: str = "gzip", most: int = 20_000) -> None:
+    """One record for each row, under ``path``, in files of at most ``most`` records.
+
+    A compressed file is read by one task; with compression none large files are split.
+    """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")), r"[\x00-\x20\x7F]", "").alias("url"), text.alias("text"))
     rows = rows.withColumn("size", F.octet_length("text").cast("long")).withColumn("sha1", F.sha1(F.col("text").cast("binary")))
@@ -68,7 +71,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", text_col: str =
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block)),
     ]
-    rows.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)).write.mode("overwrite").option("lineSep", END).text(path)
+    rows.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)).write.mode("overwrite").option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", most).text(path)
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -204,8 +207,8 @@ def _rejoined(spark: SparkSession, path: str, slim: DataFrame, reached: DataFram
     return whole.select("file", F.col("record").alias("at"), F.sha1(payload).alias("whole_sha1"))
 
 
-def query(pages: DataFrame) -> DataFrame:
+def query(pages: DataFrame, compression: str = "gzip") -> DataFrame:
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    write(pages, path)
+    write(pages, path, compression=compression)
     back = read(pages.sparkSession, path)
     return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
