@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import fingerprints, jpeg, licenses, mixing, near_duplicates, packing, pii, url_filter, warc
+from quire.llm import fingerprints, jpeg, licenses, mixing, near_duplicates, packing, pii, toxicity, url_filter, warc
 from quire.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.query(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_url_templates": op2_url_templates,
     "op3_pii": op3_pii,
     "op4_jpeg": op4_jpeg,
