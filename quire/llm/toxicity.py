@@ -43,9 +43,13 @@ LONGEST = 24
 MOST_TOXIC = 2500
 MOST_CLEAN = 5000
 MOST_CHARS = 20_000
+#: Rounds over the sample; more, if a small sample gives fewer steps.
 EPOCHS = 6
+LEAST_STEPS = 300
 BATCH = 128
 RATE = 0.01
+#: Of the embeddings.
+DECAY = 1e-3
 THRESHOLD = 0.3
 #: Words whose input a worker remembers: 288 bytes each.
 REMEMBERED = 150_000
@@ -268,7 +272,8 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, epochs: i
     common = sorted((w for w, n in seen.items() if n > 1), key=lambda w: (-seen[w], w))[:VOCABULARY]
     net = Network.begin({w: i for i, w in enumerate(common, 1)}, seed)
     odds = {w: np.log((bad[w] + 0.1) / (positive + 0.2)) - np.log((seen[w] - bad[w] + 0.5) / (len(docs) - positive + 1)) for w in seen}
-    net.p["word"][1:, 0] = [np.clip(odds[w], -3, 3) / 3 for w in common]
+    # The log-odds enter as a first guess, shrunk for words of few texts.
+    net.p["word"][1:, 0] = [np.clip(odds[w], -3, 3) / 2 * seen[w] / (seen[w] + 5) for w in common]
 
     lengths = np.array([len(d) for d in docs])
     doc, index, mask = windows(lengths)
@@ -285,6 +290,9 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, epochs: i
     step = 0
     starts = np.searchsorted(doc, np.arange(len(docs)))
     counts = np.diff(np.append(starts, len(doc)))
+    batch = int(np.clip((len(docs) + (label == 0).sum()) // 16, 16, BATCH))
+    each = -(-int(len(docs) + (label == 0).sum()) // batch)
+    epochs = max(epochs, -(-LEAST_STEPS // each))
     for epoch in range(epochs):
         if epoch:
             level = net.logits(net.inputs(list(vocabulary) or [""]), rows, mask)
@@ -297,13 +305,14 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, epochs: i
         weight = np.concatenate([np.where(label == 1, 1, clean_weight), np.full(len(clean), clean_weight * 0.3)]).astype(np.float32)
         chosen_label = np.concatenate([label, np.zeros(len(clean), np.float32)])
         mixed = r.permutation(len(chosen))
-        for i in range(0, len(mixed), BATCH):
-            some = mixed[i : i + BATCH]
+        for i in range(0, len(mixed), batch):
+            some = mixed[i : i + batch]
             spans = [docs[doc[k]][(a := index[k, 0] - first[doc[k]]) : a + WINDOW] if mask[k, 0] else [] for k in chosen[some]]
             g = _gradients(net, spans, chosen_label[some], weight[some])
             step += 1
-            rate = RATE * min(1, step / 20) * (1 if epoch < epochs - 2 else 0.3)
+            rate = RATE * min(1, step / 20) * (1 if epoch < epochs * 2 // 3 else 0.3)
             for k, v in g.items():
+                v = v + DECAY * net.p[k] if k in ("gram", "word") else v
                 m1[k] += 0.1 * (v - m1[k])
                 m2[k] += 0.01 * (v * v - m2[k])
                 net.p[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
