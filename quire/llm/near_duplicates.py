@@ -118,28 +118,46 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) to (v, label): the least vertex of each vertex's connected part.
+    """edges (a, b) to (v, label): one vertex of each vertex's connected part.
 
-    Each round a vertex takes the least label of its neighbours and then that label's label, until nothing changes.
+    Each round a vertex takes its least neighbour, if that is less than itself, as parent, and edges are drawn anew between
+    the parents: parts shrink to half at least. Once no edges are left the parents are followed back, round by round.
     """
-    both = durable(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select(F.col("b").alias("v"), F.col("a").alias("u"))).where("v != u").distinct())
-    labels = durable(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("label")))
-    while True:
-        near = salted_join(both, labels.select(F.col("v").alias("u"), "label"), ["u"], "inner", [F.col("v")]).groupBy("v").agg(F.min("label").alias("m"))
-        taken = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        further = taken.select(F.col("v").alias("label"), F.col("label").alias("then"))
-        moved = durable(salted_join(taken, further, ["label"], "inner", [F.col("v")]).select("v", "old", F.least("label", "then").alias("label")))
-        labels = moved.select("v", "label")
-        if not moved.where("old != label").limit(1).count():
-            return labels
+    rounds: list[DataFrame] = []
+    edges = durable(_upright(edges.select("a", "b")))
+    while edges.limit(1).count():
+        ends = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
+        parents = durable(ends.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("parent")))
+        rounds.append(parents)
+        up = salted_join(edges, parents.select(F.col("v").alias("b"), F.col("parent").alias("pb")), ["b"], "inner", [F.col("a")])
+        up = salted_join(up, parents.select(F.col("v").alias("a"), F.col("parent").alias("pa")), ["a"], "inner", [F.col("b")])
+        edges = durable(_upright(up.select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
+    if not rounds:
+        return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    labels = rounds[-1].select("v", F.col("parent").alias("label"))
+    for parents in reversed(rounds[:-1]):
+        further = labels.select(F.col("v").alias("parent"), "label")
+        labels = durable(salted_join(parents, further, ["parent"], "left", [F.col("v")]).select("v", F.coalesce("label", "parent").alias("label")))
+    return labels
+
+
+def _upright(edges: DataFrame) -> DataFrame:
+    return edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def candidate_parts(nodes: DataFrame) -> DataFrame:
-    """nodes (node, bands) to (v, label): the parts of nodes that share a band."""
+    """nodes (node, bands) to (v, label): the parts of nodes that share a band.
+
+    The buckets of a node have leaders; it is joined to the least of them, and they to that: nodes with the same leaders
+    draw the same edges between them.
+    """
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first != last").drop("last")
-    edges = salted_join(members, shared, ["bucket"], "inner", [F.col("node")]).where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    return components(edges)
+    leaders = salted_join(members, shared, ["bucket"], "inner", [F.col("node")]).groupBy("node").agg(F.collect_set("first").alias("all"))
+    leaders = leaders.withColumn("least", F.array_min("all"))
+    own = leaders.select(F.col("node").alias("a"), F.col("least").alias("b"))
+    between = leaders.select(F.explode("all").alias("a"), F.col("least").alias("b"))
+    return components(own.union(between.where("a != b").distinct()))
 
 
 def linked(one: list[np.ndarray], two: list[np.ndarray] | None, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
