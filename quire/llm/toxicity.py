@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,6 +53,8 @@ THRESHOLD = 0.3
 #: Words whose input a worker remembers: 288 bytes each.
 REMEMBERED = 150_000
 STEP = 600_000
+#: Windows that are read at once.
+SLAB = 1024
 
 WORD = re.compile(r"\w+")
 
@@ -153,11 +154,11 @@ class Network:
     def logits(self, table: np.ndarray, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Of windows (windows, time) of rows of ``table``; some at a time, so that memory stays bounded."""
         out = np.empty(len(index), np.float32)
-        for i in range(0, len(index), 2048):
-            m = mask[i : i + 2048].T
-            gates = table[index[i : i + 2048].T]
+        for i in range(0, len(index), SLAB):
+            m = mask[i : i + SLAB].T
+            gates = table[index[i : i + SLAB].T]
             states = np.concatenate([self.read(gates[:, :, : 3 * HIDDEN], m, "f"), self.read(gates[:, :, 3 * HIDDEN :], m, "b")], 2)
-            out[i : i + 2048] = self.pool(states, m)[0]
+            out[i : i + SLAB] = self.pool(states, m)[0]
         return out
 
 
@@ -169,7 +170,7 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.cumsum(lengths) - lengths
     within = nth[:, None] * STRIDE + np.arange(WINDOW)
     mask = within < lengths[doc][:, None]
-    return doc, np.where(mask, first[doc][:, None] + within, 0), mask
+    return doc, np.where(mask, first[doc][:, None] + within, 0).astype(np.int32), mask
 
 
 class Scorer:
@@ -262,28 +263,28 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, epochs: i
     if not positive or positive == len(label):
         total = positive + (len(label) - positive) * clean_weight
         return Network({}, constant=(positive + 1) / (total + 10))
-    docs = [words_of(t) for t in texts]
-    seen, bad = Counter(), Counter()
+    # Words are numbers from here on: the texts of a full sample have millions.
+    vocabulary: dict[str, int] = {}
+    number = vocabulary.setdefault
+    docs = [np.array([number(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
+    words = list(vocabulary) or [""]
+    seen, bad = np.zeros(len(words)), np.zeros(len(words))
     for d, y in zip(docs, toxic, strict=True):
-        own = set(d)
-        seen.update(own)
-        if y:
-            bad.update(own)
-    common = sorted((w for w, n in seen.items() if n > 1), key=lambda w: (-seen[w], w))[:VOCABULARY]
-    net = Network.begin({w: i for i, w in enumerate(common, 1)}, seed)
-    odds = {w: np.log((bad[w] + 0.1) / (positive + 0.2)) - np.log((seen[w] - bad[w] + 0.5) / (len(docs) - positive + 1)) for w in seen}
+        own = np.unique(d)
+        seen[own] += 1
+        bad[own] += y
+    common = [k for k in np.lexsort((np.array(words), -seen)).tolist() if seen[k] > 1][:VOCABULARY]
+    net = Network.begin({words[k]: i for i, k in enumerate(common, 1)}, seed)
+    odds = np.log((bad + 0.1) / (positive + 0.2)) - np.log((seen - bad + 0.5) / (len(docs) - positive + 1))
     # The log-odds enter as a first guess, shrunk for words of few texts.
-    net.p["word"][1:, 0] = [np.clip(odds[w], -3, 3) / 2 * seen[w] / (seen[w] + 5) for w in common]
+    net.p["word"][1:, 0] = np.clip(odds[common], -3, 3) / 2 * seen[common] / (seen[common] + 5)
 
     lengths = np.array([len(d) for d in docs])
     doc, index, mask = windows(lengths)
-    first = np.cumsum(lengths) - lengths
-    vocabulary: dict[str, int] = {}
-    joined = np.array([vocabulary.setdefault(w, len(vocabulary)) for d in docs for w in d] or [0])
-    rows = joined[index]
+    rows = np.append(np.concatenate(docs), np.int32(0))[index]
+    del index
     # A word of one text says nothing of itself; those of several texts pick the first windows.
-    suspicion = np.array([odds[w] * min(seen[w] - 1, 5) for w in vocabulary] or [0.0])
-    level = np.where(mask, suspicion[rows], -np.inf).max(1)
+    level = np.where(mask, (odds * np.clip(seen - 1, 0, 5)).astype(np.float32)[rows], -np.inf).max(1)
     r = np.random.default_rng(seed)
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -295,7 +296,7 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, epochs: i
     epochs = max(epochs, -(-LEAST_STEPS // each))
     for epoch in range(epochs):
         if epoch:
-            level = net.logits(net.inputs(list(vocabulary) or [""]), rows, mask)
+            level = net.logits(net.inputs(words), rows, mask)
         order = np.lexsort((-level, doc))
         top = order[starts]
         # Clean texts also show a window at random: not only their most suspicious one is clean.
@@ -307,7 +308,7 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, epochs: i
         mixed = r.permutation(len(chosen))
         for i in range(0, len(mixed), batch):
             some = mixed[i : i + batch]
-            spans = [docs[doc[k]][(a := index[k, 0] - first[doc[k]]) : a + WINDOW] if mask[k, 0] else [] for k in chosen[some]]
+            spans = [[words[j] for j in rows[k][mask[k]].tolist()] for k in chosen[some].tolist()]
             g = _gradients(net, spans, chosen_label[some], weight[some])
             step += 1
             rate = RATE * min(1, step / 20) * (1 if epoch < epochs * 2 // 3 else 0.3)
@@ -332,11 +333,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).where(F.length("t") <= MOST_CHARS)
     # At most most_toxic + most_clean ids are sent, and as many texts come back.
     sample = rows.join(F.broadcast(some[0].union(some[1])), F.col("id") == F.col("l_id")).select("l_id", "t", "y").dropDuplicates(["l_id"]).collect()
-    sample.sort(key=lambda r: r.l_id)
-    clean = sum(1 for r in sample if not r.y)
-    toxic = len(sample) - clean
+    sample = sorted((r.l_id, r.t, r.y) for r in sample)
+    toxic = sum(y for _, _, y in sample)
+    clean = len(sample) - toxic
     ratio = (totals.get(0, 0) / clean) / (totals.get(1, 0) / toxic) if clean and toxic else 1.0
-    return fit([r.t for r in sample], [r.y for r in sample], ratio)
+    return fit([t for _, t, _ in sample], [y for _, _, y in sample], ratio)
 
 
 def score(docs: DataFrame, network: Network, text_col: str = "text") -> Column:
