@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quire.plans.oracle import ORACLE_SQL
+from quire.plans.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
