@@ -44,9 +44,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def worker_memory() -> dict:
-    """What a Python worker keeps from task to task: only what any task could make again."""
-    return sys.modules.setdefault("_quire_worker_memory", types.ModuleType("_quire_worker_memory")).__dict__
+def worker_memory(owner: str) -> dict:
+    """What a Python worker keeps from task to task: only what any task could make again.
+
+    It belongs to one operator at a time: another one finds it empty, and what the last one held is freed.
+    """
+    held = sys.modules.setdefault("_quire_worker_memory", types.ModuleType("_quire_worker_memory")).__dict__
+    if held.get("owner") != owner:
+        held.clear()
+        held.update(owner=owner, held={})
+    return held["held"]
 
 
 def salted_join(many: DataFrame, few: DataFrame, on: Sequence[str], how: str, salt_by: Sequence[Column], salts: int = 32) -> DataFrame:

@@ -43,7 +43,7 @@ HASHES = 128
 TILE = 512
 TILE_CHARS = 4_000_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -67,7 +67,7 @@ class _WordHashes(dict):
 
 def ngrams(text: str, words: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of a text's word n-grams."""
-    known = worker_memory().setdefault("word_hashes", _WordHashes())
+    known = worker_memory("near duplicates").setdefault("word_hashes", _WordHashes())
     own = text.split()
     if not own:
         return np.empty(0, np.uint64)

@@ -41,7 +41,7 @@ LARGE_SHARE = 8
 BUCKETS = 64
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks, and words, whose ids a worker remembers; what comes beyond is forgotten after its batch.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class Tokens:
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(texts: list[str]) -> list[pa.Array]:
-        held = worker_memory()
+        held = worker_memory("packing")
         if tokenizer not in held:
             held[tokenizer] = Tokens(tokenizer)
         rows = []

@@ -51,10 +51,10 @@ RATE = 0.01
 DECAY = 1e-3
 THRESHOLD = 0.3
 #: Words whose input a worker remembers: 288 bytes each.
-REMEMBERED = 150_000
-STEP = 600_000
+REMEMBERED = 60_000
+STEP = 300_000
 #: Windows that are read at once.
-SLAB = 1024
+SLAB = 512
 
 WORD = re.compile(r"\w+")
 
@@ -348,10 +348,10 @@ def score(docs: DataFrame, network: Network, text_col: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        held = worker_memory()
-        if held.get("toxicity_of") != name:
-            held["toxicity_of"], held["toxicity"] = name, Scorer(Network(*sent.value))
-        return pd.Series(held["toxicity"]([t or "" for t in texts]))
+        held = worker_memory(f"toxicity {name}")
+        if "scorer" not in held:
+            held["scorer"] = Scorer(Network(*sent.value))
+        return pd.Series(held["scorer"]([t or "" for t in texts]))
 
     return scored(F.col(f"`{text_col}`").cast("string"))
 
