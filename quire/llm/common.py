@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python; keeps a batch of long texts well inside a worker's memory.
-ARROW_ROWS = 1024
+ARROW_ROWS = 512
 #: A batch is cut further so that a step in Python sees at most about this many characters (or one text).
 STEP_CHARS = 4_000_000
 
@@ -39,9 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder: lost executors don't bring recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a table in the shared folder: lost executors don't bring recomputation, and plans end here.
+
+    A checkpoint would keep the size that the optimizer estimated, which grows without bound over rounds of joins; a table
+    has the size of its files.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def worker_memory(owner: str) -> dict:
@@ -52,6 +60,10 @@ def worker_memory(owner: str) -> dict:
     held = sys.modules.setdefault("_quire_worker_memory", types.ModuleType("_quire_worker_memory")).__dict__
     if held.get("owner") != owner:
         held.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it: freed memory goes back at once
+        if trim is not None:
+            trim(0)
         held.update(owner=owner, held={})
     return held["held"]
 

@@ -120,14 +120,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) to (v, label): one vertex of each vertex's connected part.
 
-    Each round a vertex takes its least neighbour, if that is less than itself, as parent, and edges are drawn anew between
-    the parents: parts shrink to half at least. Once no edges are left the parents are followed back, round by round.
+    Each round draws a new order of the vertices; a vertex takes the first of its neighbours and itself as parent, and edges
+    are drawn anew between the parents, of which a constant share of the vertices remains, whatever the shape. Once no edges
+    are left the parents are followed back, round by round.
     """
     rounds: list[DataFrame] = []
     edges = durable(_upright(edges.select("a", "b")))
     while edges.limit(1).count():
+        drawn = lambda c: F.xxhash64(F.lit(len(rounds)), c)  # noqa: E731, B023
         ends = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        parents = durable(ends.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("parent")))
+        first = ends.groupBy("v").agg(F.min(F.struct(drawn(F.col("u")).alias("h"), "u")).alias("m"))
+        parents = durable(first.select("v", F.when(F.struct(drawn(F.col("v")).alias("h"), F.col("v").alias("u")) < F.col("m"), F.col("v")).otherwise(F.col("m.u")).alias("parent")))
         rounds.append(parents)
         up = salted_join(edges, parents.select(F.col("v").alias("b"), F.col("parent").alias("pb")), ["b"], "inner", [F.col("a")])
         up = salted_join(up, parents.select(F.col("v").alias("a"), F.col("parent").alias("pa")), ["a"], "inner", [F.col("b")])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, map_texts, worker_memory
+from quire.llm.common import durable, map_texts, text_steps, worker_memory
 
 CAPACITY = 4096
 END_ID = 1
@@ -41,7 +41,9 @@ LARGE_SHARE = 8
 BUCKETS = 64
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks, and words, whose ids a worker remembers; what comes beyond is forgotten after its batch.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Characters whose chunks are looked up at once.
+STEP = 500_000
 
 
 class Tokens:
@@ -121,7 +123,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         if tokenizer not in held:
             held[tokenizer] = Tokens(tokenizer)
         rows = []
-        for ids in held[tokenizer](texts):
+        for ids in (ids for _, step in text_steps(texts, STEP) for ids in held[tokenizer](step)):
             ids += end
             cut = [ids[a : a + 4 * capacity] for a in range(0, len(ids), 4 * capacity)]
             rows.append([{"piece": i, "start": i * capacity, "length": len(c) // 4, "ids_crc32": zlib.crc32(c)} | ({"ids": c} if with_ids else {}) for i, c in enumerate(cut)])
