@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -20,8 +20,13 @@ FLOATS = ("figure", "table", "formula", "footnote")
 IGNORED = ("header", "footer", "meta", "caption")
 NUMBERED_SHARE, LARGER, BAND, IN_BAND = 0.92, 1.3, 1.12, 1.05
 
-_DOC = Window.partitionBy("doc_id")
-_ORDER = _DOC.orderBy("ord")
+
+def _doc() -> WindowSpec:
+    return Window.partitionBy("doc_id")
+
+
+def _in_order() -> WindowSpec:
+    return _doc().orderBy("ord")
 
 
 def _flag(when: F.Column, name: str) -> F.Column:
@@ -30,7 +35,7 @@ def _flag(when: F.Column, name: str) -> F.Column:
 
 def isolate_rails(blocks: DataFrame) -> DataFrame:
     """Text that starts like a bibliographic rail, before the references, is metadata."""
-    refs = F.max((T.matches(T.strip(F.col("text")), r"(?i)^(references|bibliography)$")).cast("int")).over(_ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    refs = F.max((T.matches(T.strip(F.col("text")), r"(?i)^(references|bibliography)$")).cast("int")).over(_in_order().rowsBetween(Window.unboundedPreceding, 0))
     rail = (F.col("type") == "text") & (F.length(T.strip(F.col("text"))) >= 10) & (refs == 0) & T.starts_citation(F.col("text"))
     return blocks.withColumn("type", F.when(rail, "meta").otherwise(F.col("type")))
 
@@ -39,7 +44,7 @@ def demote_branding(blocks: DataFrame) -> DataFrame:
     """Short text that a document repeats, no larger than its body, is a running head."""
     short, long, times, ratio = BRANDING
     text = F.col("type") == "text"
-    rows = blocks.withColumn("_s", T.strip(F.col("text"))).withColumn("_body", F.median(F.when(text & (F.col("size") > 0), F.col("size"))).over(_DOC))
+    rows = blocks.withColumn("_s", T.strip(F.col("text"))).withColumn("_body", F.median(F.when(text & (F.col("size") > 0), F.col("size"))).over(_doc()))
     rows = rows.withColumn("_n", F.count_if(text).over(Window.partitionBy("doc_id", "_s")))
     hit = F.coalesce(text & F.length("_s").between(short, long) & (F.col("_n") >= times) & (F.col("size") <= F.col("_body") * ratio) & ~F.col("_s").endswith("."), F.lit(False))
     return rows.withColumn("_hit", hit).withColumn("flags", _flag(F.col("_hit"), "running-branding")).withColumn("type", F.when(F.col("_hit"), "header").otherwise(F.col("type"))).drop("_s", "_n", "_body", "_hit")
@@ -160,7 +165,7 @@ def _join_edges(rows: list[dict], gone: set[int]) -> None:
 def mark_references(blocks: DataFrame) -> DataFrame:
     """The first short block that says so heads the references; entries after it are of that type."""
     title = (F.length(T.strip(F.col("text"))) <= 40) & T.matches(F.col("text"), r"(?i)^\s*(references|bibliography)\s*$")
-    at = F.min(F.when(title, F.col("ord"))).over(_DOC)
+    at = F.min(F.when(title, F.col("ord"))).over(_doc())
     rows = blocks.withColumn("_at", at)
     year = T.matches(F.col("text"), r"(?U)\b(19|20)\d{2}\b")
     entry = F.col("type").isin("text", "footnote") & (F.col("ord") > F.col("_at")) & year & (T.starts_reference(F.col("text")) | T.strip(F.col("text")).startswith("["))
@@ -181,9 +186,9 @@ def merge_title(blocks: DataFrame) -> DataFrame:
     The run of lines is a fold over the few headings of the first page; ``title`` marks all blocks of it.
     """
     rows = blocks.withColumn("_fit", is_title_candidate())
-    rows = rows.withColumn("_top", F.min_by(F.when(F.col("_fit"), F.struct("id", "bbox")), F.when(F.col("_fit"), F.struct("bbox.y0", "ord"))).over(_DOC)).drop("_fit")
+    rows = rows.withColumn("_top", F.min_by(F.when(F.col("_fit"), F.struct("id", "bbox")), F.when(F.col("_fit"), F.struct("bbox.y0", "ord"))).over(_doc())).drop("_fit")
     below = (F.col("page") == 0) & (F.col("type") == "heading") & (F.col("id") != F.col("_top.id")) & (F.col("bbox.y0") > F.col("_top.bbox.y0")) & (F.col("bbox.y0") <= TITLE_RUN)
-    rows = rows.withColumn("_all", F.array_sort(F.collect_list(F.when(below, F.struct("ord", "id", "bbox", "text"))).over(_DOC)))
+    rows = rows.withColumn("_all", F.array_sort(F.collect_list(F.when(below, F.struct("ord", "id", "bbox", "text"))).over(_doc())))
     start = F.struct(F.col("_top.bbox").alias("last"), F.array().cast("array<string>").alias("ids"))
 
     def step(acc: F.Column, x: F.Column) -> F.Column:
@@ -212,10 +217,10 @@ def refine_outline(blocks: DataFrame) -> DataFrame:
     rows = blocks.withColumn("_is_numbered", numbered)
     numbered = F.col("_is_numbered")
     rows = rows.withColumns({
-        "_body": F.median(F.when((F.col("size") > 0) & (F.length(s) >= 12), F.col("size"))).over(_DOC),
-        "_top": F.max(F.when(heading & (F.col("size") > 0), F.col("size"))).over(_DOC),
-        "_k": F.count_if(heading & numbered).over(_DOC),
-        "_numbered": F.median(F.when(heading & numbered & (F.col("size") > 0), F.col("size"))).over(_DOC),
+        "_body": F.median(F.when((F.col("size") > 0) & (F.length(s) >= 12), F.col("size"))).over(_doc()),
+        "_top": F.max(F.when(heading & (F.col("size") > 0), F.col("size"))).over(_doc()),
+        "_k": F.count_if(heading & numbered).over(_doc()),
+        "_numbered": F.median(F.when(heading & numbered & (F.col("size") > 0), F.col("size"))).over(_doc()),
     })
     letters, size, body = T.count_of(s, "[A-Za-z一-鿿]"), F.col("size"), F.col("_body")
     larger, steps = size >= body * LARGER, F.col("_top") >= body * BAND
@@ -241,10 +246,10 @@ def refine_outline(blocks: DataFrame) -> DataFrame:
 def front_matter_first(blocks: DataFrame) -> DataFrame:
     """Where metadata stands between body blocks, it moves before the body."""
     front = F.col("type").isin("meta", "header", "footer")
-    seen = F.max((~front).cast("int")).over(_ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.max((~front).cast("int")).over(_in_order().rowsBetween(Window.unboundedPreceding, 0))
     rows = blocks.withColumn("_front", front).withColumn("_late", F.col("_front") & (seen == 1))
-    rows = rows.withColumn("_mixed", F.max("_late").over(_DOC))
-    place = _DOC.orderBy(F.when(F.col("_mixed") & F.col("_front"), 0).otherwise(1), F.when(F.col("_mixed") & F.col("_front"), F.col("page")), F.when(F.col("_mixed") & F.col("_front"), F.col("bbox.y0")), F.when(F.col("_mixed") & F.col("_front"), F.col("bbox.x0")), "ord")
+    rows = rows.withColumn("_mixed", F.max("_late").over(_doc()))
+    place = _doc().orderBy(F.when(F.col("_mixed") & F.col("_front"), 0).otherwise(1), F.when(F.col("_mixed") & F.col("_front"), F.col("page")), F.when(F.col("_mixed") & F.col("_front"), F.col("bbox.y0")), F.when(F.col("_mixed") & F.col("_front"), F.col("bbox.x0")), "ord")
     return rows.withColumn("ord", F.row_number().over(place) - 1).drop("_front", "_late", "_mixed")
 
 
