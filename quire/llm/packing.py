@@ -3,7 +3,7 @@
 A document is its token ids and an end id; only what is longer than a sequence is cut, into pieces of full length but the
 last. The plan is made on how many pieces there are of each length, at most ``capacity`` numbers whatever the input:
 
-1. Linear grouping: large lengths, sorted, are dealt into ``GROUPS`` groups of about equal cardinality (at borders between
+1. Linear grouping: large lengths, sorted, are dealt into groups of about equal cardinality (of the numbers of groups in ``GROUPS`` the best) (at borders between
    lengths) and rounded up to their group's largest.
 2. Configurations: multisets of rounded lengths that fit a sequence. Column generation finds how often to use each: a basis
    of configurations gives prices, a knapsack over the few sizes finds a better configuration, until there is none.
@@ -35,7 +35,8 @@ from quire.llm.common import durable, map_texts, text_steps, worker_memory
 
 CAPACITY = 4096
 END_ID = 1
-GROUPS = 12
+#: Numbers of groups that are tried; the plan with the fewest sequences stays.
+GROUPS = (12, 24, 48, 96)
 #: Lengths above a sequence's eighth are large.
 LARGE_SHARE = 8
 BUCKETS = 64
@@ -259,8 +260,12 @@ class Plan:
             count -= n * filled
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> Plan:
     """Where the pieces of each length go, from how many there are."""
+    return min((_plan(counts, capacity, k) for k in groups), key=lambda p: p.sequences)
+
+
+def _plan(counts: dict[int, int], capacity: int, groups: int) -> Plan:
     out, left = Plan(capacity), dict(counts)
     large = sorted((x for x in counts if capacity // LARGE_SHARE < x < capacity), reverse=True)
     if large:
