@@ -168,4 +168,27 @@ def scan(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return scan(docs, build_index(word_counts(docs, universe(NOTICES))))
+    return scan(docs, build_index(word_counts(docs, universe(NOTICES)))).drop("blocks")
+
+
+def oracle_sql() -> str:
+    """Phrases by position, and every line against every notice."""
+    words = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES)
+    notices = ", ".join(f"({k}, '{label}', {sorted({w.decode() for w in words_of(t)})!r})" for k, (label, t) in enumerate(NOTICES))
+    return f"""
+WITH phrases(p, label) AS (VALUES {phrases}), notices(k, label, t) AS (VALUES {notices}),
+docs AS (SELECT doc_id, coalesce(text, '') AS text, {words.format(t="coalesce(text, '')")} AS w FROM documents),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS pos FROM docs, phrases),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM places GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+found AS (
+  SELECT doc_id, label, len(list_intersect(list_distinct(x), t))::DOUBLE / len(t) AS c FROM (SELECT doc_id, {words.format(t="line")} AS x FROM lines) l, notices),
+good AS (SELECT doc_id, label, c FROM found WHERE c >= {CONTAINMENT}::DOUBLE - 1e-9),
+own AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM places GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM good) GROUP BY doc_id),
+best AS (SELECT doc_id, max(c) AS c FROM good GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(own.l, '') AS base_labels, coalesce(every.l, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM docs d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)"""

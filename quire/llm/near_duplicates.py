@@ -317,3 +317,19 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def query(docs: DataFrame) -> DataFrame:
     return join(docs)
+
+
+#: All pairs of n-gram sets, and a closure over the links.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+grams AS (
+  SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+each AS (SELECT doc_id, unnest(g) AS g FROM grams),
+sizes AS (SELECT doc_id, len(g) AS n FROM grams),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 9 * p.n >= 4 * (x.n + y.n)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+counts AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM classes LEFT JOIN counts USING (doc_id)
+"""

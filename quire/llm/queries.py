@@ -64,4 +64,9 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {"op8_mix": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_licenses": licenses.oracle_sql(),
+    "op6_near_duplicates": near_duplicates.ORACLE_SQL,
+    "op8_mix": mixing.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
+}
