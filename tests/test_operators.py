@@ -135,6 +135,7 @@ def test_cut_paragraphs_are_joined_over_pages(spark):
 def test_references_title_and_outline(spark):
     rows = [block(0, 0, "heading", "A Long Title of a Paper", y0=60, y1=80, size=18.0), block(1, 0, "heading", "and Its Second Line", y0=84, y1=104, size=18.0), block(2, 0, "text", "body " * 20, y0=400, y1=500)]
     rows += [block(3, 1, "heading", "1. Introduction Part", size=13.0), block(4, 1, "heading", "2. Methods Part", size=13.0), block(5, 1, "heading", "Agronomy News", size=10.0), block(6, 2, "text", "References", size=13.0), block(7, 2, "text", "[1] Smith, J. A paper. 2020.")]
+    rows += [block(8 + i, 3 + i, "text", f"Body number {i} ends here.") for i in range(8)]
     out = {r.ord: r for r in refine.refine(spark.createDataFrame(rows, SCHEMA), hoist=False).collect()}
     assert out[0].text == "A Long Title of a Paper and Its Second Line" and out[0].level == 1 and "title-continuation" in out[1].flags
     assert out[5].type == "meta" and "outline-demoted" in out[5].flags and out[3].type == out[4].type == "heading"
