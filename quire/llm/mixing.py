@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import durable
+
 #: Groups into which the documents of one source and size class are dealt.
 SPREAD = 61
 #: The random offset has this many values, so that adding it to a prefix sum of copies is exact.
@@ -80,9 +82,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.xxhash64(f"`{text_col}`").alias("tie"),
     )
     rows = rows.withColumn("cls", size_class(F.col("size"))).withColumn("rem", F.coalesce(F.pmod("id", F.lit(SPREAD)), F.lit(-1)).cast("int"))
-    # The counts read the table on their own: their scan is pruned to what they need.
+    # The counts read the table on their own, once: their scan is pruned to what they need, and targets and starts share them.
     group_keys = ["src", "cls", "rem"]
-    groups = rows.groupBy(*group_keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    groups = durable(rows.groupBy(*group_keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
     in_source = Window.partitionBy("src").orderBy("cls", "rem")
     groups = groups.withColumn("start", F.coalesce(F.sum("n").over(in_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("source_size", F.sum("words").over(Window.partitionBy("src")))
     sources = groups.groupBy("src", "source_size").agg(F.sum("n").alias("docs"))
