@@ -41,8 +41,8 @@ GROUPS = (12, 24, 48, 96)
 LARGE_SHARE = 8
 BUCKETS = 64
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks, and words, whose ids a worker remembers; what comes beyond is forgotten after its batch.
-REMEMBERED = 100_000
+#: Chunks and words whose ids a worker remembers; what comes beyond is forgotten after its batch.
+CHUNKS, WORDS = 100_000, 300_000
 #: Characters whose chunks are looked up at once.
 STEP = 500_000
 
@@ -55,6 +55,7 @@ class Tokens:
     """
 
     MARK = "~"
+    STOPS = frozenset(".,;:!?")
     WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, file: str) -> None:
@@ -92,10 +93,15 @@ class Tokens:
 
     def _split(self, chunk: str) -> tuple[str, str]:
         """A word and the punctuation after it, or the chunk and nothing."""
-        m = self.WORD.fullmatch(chunk)
-        if m is None:
-            return chunk, ""
-        word, rest = m.groups()
+        if chunk.isalpha():
+            word, rest = chunk, ""
+        elif chunk[:-1].isalpha() and chunk[-1] in self.STOPS:
+            word, rest = chunk[:-1], chunk[-1]
+        else:
+            m = self.WORD.fullmatch(chunk)
+            if m is None:
+                return chunk, ""
+            word, rest = m.groups()
         # Beyond Latin, lowering a word and lowering its letters can differ.
         return (word.lower() if word.isascii() or (max(word) < "\u0180" and "\u0130" not in word) else word), rest
 
@@ -108,8 +114,8 @@ class Tokens:
         words = self.words
         self.known.update(zip(fresh, [words[w] + words[rest] for w, rest in split], strict=True))
         out = [b"".join(map(self.known.__getitem__, c)) for c in chunks]
-        for held, added in ((self.known, fresh), (words, new)):
-            if len(held) > REMEMBERED:
+        for held, added, most in ((self.known, fresh, CHUNKS), (words, new, WORDS)):
+            if len(held) > most:
                 for c in added:
                     del held[c]
         return out
