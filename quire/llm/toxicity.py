@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,8 +52,8 @@ RATE = 0.01
 DECAY = 1e-3
 THRESHOLD = 0.3
 #: Words whose input a worker remembers: 288 bytes each.
-REMEMBERED = 60_000
-STEP = 300_000
+REMEMBERED = 100_000
+STEP = 500_000
 #: Windows that are read at once.
 SLAB = 512
 
@@ -61,7 +62,7 @@ WORD = re.compile(r"\w+")
 
 def words_of(text: str) -> list[str]:
     found = WORD.findall(text.lower())
-    if any(len(w) > LONGEST for w in found):
+    if max(map(len, found), default=0) > LONGEST:
         found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
 
@@ -130,15 +131,25 @@ class Network:
         u = self.p[f"state_{direction}"]
         h = np.zeros((gates.shape[1], HIDDEN), np.float32)
         states = np.empty((*gates.shape[:2], HIDDEN), np.float32)
+        whole = mask.all(1)
         for t in range(len(gates)) if direction == "f" else reversed(range(len(gates))):
             rec = h @ u
-            zr = sigmoid(gates[t, :, : 2 * HIDDEN] + rec[:, : 2 * HIDDEN])
+            # The logistic function by tanh, in place.
+            zr = gates[t, :, : 2 * HIDDEN] + rec[:, : 2 * HIDDEN]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(gates[t, :, 2 * HIDDEN :] + r * rec[:, 2 * HIDDEN :])
-            new = n + z * (h - n)
+            n = r * rec[:, 2 * HIDDEN :]
+            n += gates[t, :, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            new = h - n
+            new *= z
+            new += n
             if keep is not None:
                 keep.append((t, h, z, r, n, rec[:, 2 * HIDDEN :]))
-            h = np.where(mask[t, :, None], new, h)
+            h = new if whole[t] else np.where(mask[t, :, None], new, h)
             states[t] = h
         return states
 
@@ -188,11 +199,12 @@ class Scorer:
         for start, step in text_steps(texts, STEP):
             if len(self.at) > REMEMBERED:
                 self.at, self.table = {}, self.table[:0]
-            known = len(self.at)
             split = [words_of(t) for t in step]
-            joined = [self.at.setdefault(w, len(self.at)) for s in split for w in s]
-            if len(self.at) > known:
-                self.table = np.concatenate([self.table, self.network.inputs(list(self.at)[known:])])
+            fresh = list(set().union(*split).difference(self.at))
+            if fresh:
+                self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh)), strict=True))
+                self.table = np.concatenate([self.table, self.network.inputs(fresh)])
+            joined = list(map(self.at.__getitem__, chain.from_iterable(split)))
             doc, index, mask = windows(np.array([len(s) for s in split]))
             table = self.table if len(self.table) else np.zeros((1, 6 * HIDDEN), np.float32)
             rows = np.array(joined or [0])[index]
