@@ -42,7 +42,7 @@ LARGE_SHARE = 8
 BUCKETS = 64
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks and words whose ids a worker remembers; what comes beyond is forgotten after its batch.
-CHUNKS, WORDS = 100_000, 300_000
+CHUNKS, WORDS = 200_000, 300_000
 #: Characters whose chunks are looked up at once.
 STEP = 500_000
 
@@ -73,23 +73,39 @@ class Tokens:
         self.known: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
         self.mark = self._encode(self.MARK)
+        # Which ids end a word: a word of Latin letters has one, its last.
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    @staticmethod
+    def _latin(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or (max(word) < "\u0180" and "\u0130" not in word))
+
     def _learn_words(self, words: list[str]) -> None:
-        plain = [w for w in words if self.MARK not in w]
+        latin, marked = [], []
         for w in words:
-            if self.MARK in w:
+            if self._latin(w):
+                latin.append(w)
+            elif self.MARK in w:
                 self.words[w] = self._encode(w).tobytes()
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = self._encode(f" {self.MARK} ".join(some))
-            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)) * 4
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                self.words[w] = raw[at:end]
-                at = end + 4
+            else:
+                marked.append(w)
+        for some, glue in ((latin, " "), (marked, f" {self.MARK} ")):
+            for i in range(0, len(some), 4096):
+                part = some[i : i + 4096]
+                ids = self._encode(glue.join(part))
+                if glue == " ":
+                    ends, skip = (np.flatnonzero(self.ends[ids]) + 1) * 4, 0
+                else:
+                    ends, skip = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)) * 4, 4
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(part, ends.tolist(), strict=True):
+                    self.words[w] = raw[at:end]
+                    at = end + skip
 
     def _split(self, chunk: str) -> tuple[str, str]:
         """A word and the punctuation after it, or the chunk and nothing."""
@@ -103,12 +119,12 @@ class Tokens:
                 return chunk, ""
             word, rest = m.groups()
         # Beyond Latin, lowering a word and lowering its letters can differ.
-        return (word.lower() if word.isascii() or (max(word) < "\u0180" and "\u0130" not in word) else word), rest
+        return (word.lower() if self._latin(word) else word), rest
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         fresh = list(set().union(*chunks).difference(self.known))
-        split = [self._split(c) for c in fresh]
+        split = [(c.lower(), "") if c.isascii() and c.isalpha() else self._split(c) for c in fresh]
         new = list({w for pair in split for w in pair}.difference(self.words))
         self._learn_words(new)
         words = self.words
