@@ -69,7 +69,7 @@ def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def retrieval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.retrieval_text(_turns(spark, sf_dir).where("doc_id < 100"), _variants(spark, sf_dir), "purchase")
+    out = retrieval.retrieval_text(_turns(spark, sf_dir), _variants(spark, sf_dir), "purchase")
     return out.select("doc_id", "block_id", F.col("match_text"))
 
 
@@ -227,7 +227,7 @@ def usage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quality_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = report.quality_rollup(store.with_variants(_turns(spark, sf_dir).where("doc_id < 100"), _variants(spark, sf_dir), _notes(spark, sf_dir)))
+    out = report.quality_rollup(store.with_variants(_turns(spark, sf_dir), _variants(spark, sf_dir), _notes(spark, sf_dir)))
     return out.select("doc_id", "blocks", "translated", "ok", "failed")
 
 
