@@ -7,8 +7,9 @@
    holds less than ``SHARE`` of the parent's urls: it turns into ``*``. The rule is applied to the shapes' tree and then
    to the last segments of the templates so found, so that a parent keeps at most ``FEW`` + 1 / ``SHARE`` + 1 children.
 4. Labelled siblings whose shares of blocked urls don't differ by a two-proportion z test are merged into one branch.
-5. A branch is rejected if its purity, (blocked + ALPHA x overall share) / (labelled + ALPHA), is at least ``REJECT``; a
-   branch without labels has the overall share as purity and at least ``MIN_LABELS`` labels are needed to reject.
+5. A branch's labels are its own if they are ``MIN_LABELS`` at least, else those of its siblings, else those of the host's
+   templates that are as deep and end alike: /de/# and /fr/# learn from /en/#. It is rejected if there are ``MIN_LABELS``
+   and the purity, (blocked + ALPHA x overall share) / (labelled + ALPHA), is at least ``REJECT``.
 
 Counts are taken before every shuffle and joins on host are salted: a host may hold a third of all urls.
 
@@ -113,10 +114,16 @@ def template_verdicts(shapes: DataFrame) -> DataFrame:
     spread = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.0)) * (1 / F.col("labelled") + 1 / before[1]))
     alike = F.coalesce(F.col("known") & (F.abs(F.col("rate") - before[2]) <= Z * spread), F.lit(False))
     siblings = siblings.withColumn("branch", F.sum(F.when(alike, 0).otherwise(1)).over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    branch = Window.partitionBy("host", "stem", "known", "branch")
-    blocked, labelled = F.sum("blocked").over(branch), F.sum("labelled").over(branch)
-    purity = (blocked + ALPHA * share) / (labelled + ALPHA)
-    siblings = siblings.select("host", "stem", "piece", F.concat_ws("/", F.when(F.col("stem") != "", F.col("stem")), F.col("piece")).alias("template"), purity.alias("purity"), ((purity >= REJECT) & (labelled >= MIN_LABELS)).alias("rejected"))
+    depth = F.when(F.col("stem") == "", 0).otherwise(F.size(F.split("stem", "/")))
+    siblings = siblings.withColumn("depth", depth)
+    like = ["host", "depth", "piece"]
+    siblings = salted_join(siblings, siblings.groupBy(*like).agg(F.sum("blocked").alias("like_b"), F.sum("labelled").alias("like_l")), like, "inner", [F.col("stem")])
+    branch, stem = Window.partitionBy("host", "stem", "known", "branch"), Window.partitionBy("host", "stem")
+    pools = [(F.sum("blocked").over(w), F.sum("labelled").over(w)) for w in (branch, stem)] + [(F.col("like_b"), F.col("like_l"))]
+    pools = [F.struct(b.alias("b"), n.alias("l")) for b, n in pools]
+    siblings = siblings.withColumn("pool", F.coalesce(*[F.when(p["l"] >= MIN_LABELS, p) for p in pools], pools[0]))
+    purity = (F.col("pool.b") + ALPHA * share) / (F.col("pool.l") + ALPHA)
+    siblings = siblings.select("host", "stem", "piece", F.concat_ws("/", F.when(F.col("stem") != "", F.col("stem")), F.col("piece")).alias("template"), purity.alias("purity"), ((purity >= REJECT) & (F.col("pool.l") >= MIN_LABELS)).alias("rejected"))
 
     ends = salted_join(tips.select("host", "stem", "last", "piece"), siblings, ["host", "stem", "piece"], "inner", [F.col("last")])
     return salted_join(found, ends, ["host", "stem", "last"], "inner", [F.col("shape")]).select("host", "shape", "template", "purity", "rejected")

@@ -49,3 +49,16 @@ def test_variable_segments_become_wildcards(spark):
 
 def test_empty_table(spark):
     assert U.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_labels_reach_unruled_urls_under_the_rules(spark):
+    """Other languages of a host follow its ruled one where their paths look alike, not where they differ or labels are mixed."""
+    blocked = [f"http://a.com/{lang}/{i}{end}" for lang in ("de", "fr") for i in range(5) for end in ("", ".html")]
+    allowed = [f"http://b.net/fr/{i}" for i in range(5)] + [f"http://example.com/fr/{i}" for i in range(5)] + [f"http://c.com/fr/{i}" for i in range(5)] + ["http://a.com/about", "http://a.com/de/x/y/z"]
+    ruled = [f"http://a.com/en/{i}{end}" for i in range(20) for end in ("", ".html")] + [f"http://b.net/de/{i}" for i in range(20)] + [f"http://example.com/en/{i}" for i in (*range(700, 710), *range(800, 810))]
+    urls = blocked + allowed + ruled
+    rows = {r.url: r for r in U.query(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).join(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id").collect()}
+    assert len(rows) == len(urls)
+    for u in blocked + allowed:
+        assert (rows[u].rule, rows[u].verdict) == (None, "block" if u in blocked else "allow"), u
+    assert all(rows[u].rule for u in ruled)
