@@ -1,14 +1,16 @@
 """License scans: an exact set-similarity join of text blocks with license notices, beside plain phrases.
 
-A block is a line of a text, a notice a template; both are sets of words. A block matches where it contains at least
-``CONTAINMENT`` of a template's words. The join is exact:
+A notice is a template, a set of words. A block is a window of a text's words, across line ends, of as many words as the
+notice has beside a share of 1 - ``CONTAINMENT`` of other words; there is one at every word. It matches where it contains
+at least ``CONTAINMENT`` of the template's words. The join is exact; a text whose words as a whole don't match has no block
+that does, so texts are filtered first and the windows of the rest are counted in one sweep a template:
 
 * one pass over all texts counts in how many of them each template word occurs, the global order of words, rarest first;
 * of a template with n words, of which o = ceil(n x CONTAINMENT) must occur, the first n - o + 1 in that order are its
-  prefix: a block without any of them can't match;
-* the length filter drops blocks with fewer than o words that are in any template;
-* the positional filter drops a pair if the words from the first common one on are too few, in template or block, to
-  reach o; the rest are verified on the sets.
+  prefix: a text without any of them can't match;
+* the length filter drops texts with fewer than o words that are in any template;
+* the positional filter drops a pair if the words from the first common one on are too few, in template or text, to
+  reach o; the rest are verified on the sets, then by windows.
 
 Templates are a fixed list, so the index is small and sent to every task; nothing is shuffled but the word counts.
 
@@ -68,6 +70,7 @@ class Index:
     labels: tuple[str, ...]
     words: tuple[tuple[bytes, ...], ...]
     needed: tuple[int, ...]
+    widths: tuple[int, ...]
     prefix: dict[bytes, list[tuple[int, int]]]
     rank: dict[bytes, int]
 
@@ -80,11 +83,12 @@ def build_index(counts: dict[bytes, int], notices: tuple[tuple[str, str], ...] =
     rank = {w: i for i, w in enumerate(sorted(universe(notices), key=lambda w: (counts.get(w, 0), w)))}
     words = tuple(tuple(sorted(set(words_of(t)), key=rank.__getitem__)) for _, t in notices)
     needed = tuple(ceil(len(w) * containment - 1e-9) for w in words)
+    widths = tuple(ceil(len(words_of(t)) / containment - 1e-9) for _, t in notices)
     prefix: dict[bytes, list[tuple[int, int]]] = {}
     for k, (w, o) in enumerate(zip(words, needed, strict=True)):
         for i in range(len(w) - o + 1):
             prefix.setdefault(w[i], []).append((k, i))
-    return Index(tuple(label for label, _ in notices), words, needed, prefix, rank)
+    return Index(tuple(label for label, _ in notices), words, needed, widths, prefix, rank)
 
 
 def match_block(words: list[bytes], index: Index) -> list[tuple[int, float]]:
@@ -105,16 +109,43 @@ def match_block(words: list[bytes], index: Index) -> list[tuple[int, float]]:
     return found
 
 
-def matches(text: str, words: list[bytes], index: Index) -> list[tuple[int, int, int, float]]:
-    """(first word, end, template, containment) of every line that contains a template."""
+def windows(hits: list[tuple[int, bytes]], needed: int, width: int) -> list[tuple[int, int, int]]:
+    """(first word, end, distinct words) of windows with enough of the words in ``hits``; of overlapping ones the first best."""
+    held: Counter[bytes] = Counter()
+    out: list[tuple[int, int, int]] = []
+    low = reach = 0
+    for i, w in hits:
+        held[w] += 1
+        while hits[low][0] <= i - width or held[hits[low][1]] > 1:
+            left = hits[low][1]
+            held[left] -= 1
+            if not held[left]:
+                del held[left]
+            low += 1
+        if len(held) < needed:
+            continue
+        now = (hits[low][0], i + 1, len(held))
+        if not out or now[0] >= reach:
+            out.append(now)
+        elif now[2] > out[-1][2]:
+            out[-1] = now
+        reach = i + 1
+    return out
+
+
+def matches(words: list[bytes], index: Index) -> list[tuple[int, int, int, float]]:
+    """(first word, end, template, containment) of the windows of words that contain a template."""
     if index.prefix.keys().isdisjoint(words):
         return []
-    out, at = [], 0
-    for line in text.split("\n"):
-        own = words_of(line)
-        out += [(at, at + len(own), k, c) for k, c in match_block(own, index)]
-        at += len(own)
-    return out
+    whole = match_block(words, index)
+    if not whole:
+        return []
+    hits = [(i, w) for i, w in enumerate(words) if w in index.rank]
+    out = []
+    for k, _ in whole:
+        own = set(index.words[k])
+        out += [(s, e, k, c / len(own)) for s, e, c in windows([h for h in hits if h[1] in own], index.needed[k], index.widths[k])]
+    return sorted(out)
 
 
 def places(words: list[bytes]) -> list[tuple[int, str]]:
@@ -154,7 +185,7 @@ def scan(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         for t in texts:
             words = words_of(t)
             base = places(words)
-            found = matches(t, words, index)
+            found = matches(words, index)
             starts = [s for s, _ in base]
             base_labels = sorted({label for _, label in base})
             labels = sorted({*base_labels, *(index.labels[k] for _, _, k, _ in found)})

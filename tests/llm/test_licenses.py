@@ -59,3 +59,41 @@ def test_order_of_words_does_not_change_matches():
     other = L.build_index({w: hash(w) % 97 for w in L.universe(L.NOTICES)})
     for w in lines:
         assert sorted(L.match_block(w, some)) == sorted(L.match_block(w, other))
+
+
+def labels(spark, *texts: str) -> list[str]:
+    rows = {r.doc_id: r.labels for r in L.query(frame(spark, list(texts))).collect()}
+    return [rows[i] for i in range(len(texts))]
+
+
+def test_wrapped_notices_are_found(spark):
+    """Every notice, in lines of four words as a comment within prose, and inside one long line."""
+    prose = "x1 x2 x3 x4 x5 " * 200
+    texts = []
+    for _, notice in L.NOTICES:
+        w = notice.split()
+        texts += [prose + "\n" + "\n".join(f" * {' '.join(w[i : i + 4])}" for i in range(0, len(w), 4)) + "\n" + prose, prose + notice + prose]
+    got = labels(spark, *texts)
+    for i, (label, _) in enumerate(L.NOTICES):
+        assert label in got[2 * i].split(",") and label in got[2 * i + 1].split(",")
+
+
+def test_words_scattered_in_a_long_line_are_no_notice(spark):
+    far = " filler" * 50
+    assert labels(spark, f"released{far} under{far} the{far} mit{far} license", "released under the good mit license") == ["", "mit"]
+
+
+def test_windows_match_every_window_counted():
+    r = random.Random(11)
+    index = L.build_index({})
+    for _ in range(300):
+        _, notice = r.choice(L.NOTICES)
+        w = [x for x in L.words_of(notice) for _ in range(r.randint(0, 2)) if r.random() < 0.9] + [b"z"] * r.randint(0, 9)
+        r.shuffle(w)
+        w += L.words_of(notice)[: r.randint(0, 30)]
+        want = set()
+        for k, n in enumerate(index.widths):
+            t = set(index.words[k])
+            if any(len(t & set(w[i : i + n])) >= index.needed[k] for i in range(len(w))):
+                want.add(k)
+        assert {k for _, _, k, _ in L.matches(w, index)} == want
