@@ -269,9 +269,10 @@ def verified(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> D
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents (id, key) and nodes (key, first, n, class_id, n_links).
+    """Documents (id, key) and nodes (key, first, n, class_id, n_links, label).
 
-    ``first`` is the least id of a node's documents, ``class_id`` of a class's.
+    ``first`` is the least id of a node's documents, ``class_id`` of a class's, which other classes may have too; ``label``
+    is the class's own.
     """
     tuned(docs.sparkSession)
     signed = durable(signatures(docs, id_col, text_col))
@@ -286,7 +287,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = nodes.select("key", "first", "n").join(links, "key", "left").join(labels.select(F.col("v").alias("key"), "label"), "key", "left")
     named = durable(named.select("key", "first", "n", F.coalesce("label", "key").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     ids = named.groupBy("label").agg(F.min("first").alias("class_id"))
-    return signed.select("id", "key"), salted_join(named, ids, ["label"], "inner", [F.col("key")]).drop("label")
+    return signed.select("id", "key"), salted_join(named, ids, ["label"], "inner", [F.col("key")])
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,7 +300,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class: that of the least id, once if it is repeated."""
     members, nodes = classes(docs, id_col, text_col)
-    stay = durable(nodes.where(F.col("first").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_key"), F.col("first").alias("_first")))
+    stay = durable(nodes.where(F.col("first").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_key"), F.col("first").alias("_first"), F.col("label").alias("_label")))
     twice = members.groupBy("key", "id").count().where("count > 1").limit(1).count() > 0
 
     @F.pandas_udf("binary")
@@ -309,9 +310,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.withColumn("_key", key(F.col(f"`{text_col}`").cast("string")))
     kept = salted_join(rows, stay, ["_key"], "inner", [F.col(f"`{id_col}`")]).where(F.col(f"`{id_col}`").eqNullSafe(F.col("_first")))
     # Two texts of one class can have the same least id.
-    clash = stay.groupBy("_first").count().where("count > 1").limit(1).count() > 0
+    clash = stay.groupBy("_label").count().where("count > 1").limit(1).count() > 0
     if twice or clash:
-        kept = kept.dropDuplicates(["_key"]) if not clash else kept.dropDuplicates([id_col])
+        kept = kept.dropDuplicates(["_label"])
     return kept.select(*docs.columns)
 
 

@@ -98,3 +98,12 @@ def test_components(spark):
     labels = {r.v: r.label for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({labels[i] for i in range(41)}) == 1 and len({labels[i] for i in range(100, 160)}) == 1 and len({labels[i] for i in (200, 201, 202)}) == 1
     assert len(set(labels.values())) == 3 and len(labels) == 41 + 60 + 3
+
+
+def test_keep_first_keeps_unrelated_texts_with_equal_ids(spark):
+    a, b, c, d = (words(50, i) for i in range(4))
+    docs = frame(spark, [a, b, b, c, d, d], [None, None, None, 7, 7, 7])
+    assert sorted(r.text for r in N.keep_first(docs).collect()) == sorted([a, b, c, d])
+    # Two nodes of one class with the same id stay one document.
+    near = family(words(150, 3), 8, 1, 3)
+    assert N.keep_first(frame(spark, near, [5] * 8)).count() == 1
