@@ -192,8 +192,8 @@ def linked(one: list[np.ndarray], two: list[np.ndarray] | None, threshold: float
     yield np.nonzero(hit)
 
 
-def _verify(rows: list[tuple]) -> list[tuple]:
-    """rows (block of two, key, n, text) of one tile to (key, links, other): links of nodes, and edges of a forest."""
+def _verify(rows: list[tuple], low: int, high: int) -> list[tuple]:
+    """rows (block of two, key, n, text) of tile (low, high) to (key, links, other): links of nodes, and edges of a forest."""
     unpack = zstandard.ZstdDecompressor()
     seen: dict[bytes, tuple] = {r[1]: r for r in rows}
     first = [r for r in seen.values() if not r[0]]
@@ -210,7 +210,7 @@ def _verify(rows: list[tuple]) -> list[tuple]:
         return i
 
     out: list[tuple] = []
-    if second and not first or first and len(every) < 2:
+    if len(every) < 2 or low < high and not (first and second):  # a block's own pairs are tile (b, b)'s
         return out
     for a, b in linked(sets[0], sets[1] if second else None):
         b = b + len(first) * bool(second)
@@ -255,13 +255,13 @@ def verified(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> D
         for b in batches:
             for *now, side, key, n, packed in zip(*(c.to_pylist() for c in b.columns)):
                 if now != tile:
-                    done += _verify(held) if len(held) > 1 else []
+                    done += _verify(held, *tile[1:]) if len(held) > 1 else []
                     tile, held = now, []
                 held.append((side, key, n, packed))
             if len(done) > 4096:
                 yield batch_of(done)
                 done = []
-        done += _verify(held) if len(held) > 1 else []
+        done += _verify(held, *tile[1:]) if len(held) > 1 else []
         if done:
             yield batch_of(done)
 

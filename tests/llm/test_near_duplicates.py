@@ -107,3 +107,13 @@ def test_keep_first_keeps_unrelated_texts_with_equal_ids(spark):
     # Two nodes of one class with the same id stay one document.
     near = family(words(150, 3), 8, 1, 3)
     assert N.keep_first(frame(spark, near, [5] * 8)).count() == 1
+
+
+def test_links_with_as_many_blocks_as_nodes(spark, monkeypatch):
+    """Some blocks get no node by hash: tiles with them count no links again."""
+    monkeypatch.setattr(N, "TILE_CHARS", 1000)
+    texts = family(words(150, 3), 6, 1, 3) + family(words(150, 5), 3, 1, 5) + family(words(150, 6), 2, 1, 6)
+    classes, links = brute(texts)
+    rows = {r.doc_id: r for r in N.query(frame(spark, texts)).collect()}
+    assert [rows[i].class_id for i in range(len(texts))] == classes
+    assert [rows[i].n_links for i in range(len(texts))] == links
