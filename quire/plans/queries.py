@@ -153,8 +153,7 @@ def table_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def candidate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return terms.candidate_terms(ascii_docs).select("term", "n")
+    return terms.candidate_terms(table(spark, sf_dir, "documents")).select("term", "n")
 
 
 @query

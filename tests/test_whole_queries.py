@@ -30,3 +30,12 @@ def test_conversations_from_100_on_are_answered(spark, tables):
     assert texts == {(c, t): f"turn {c} {t}" for c, t, _, _ in TURNS[0]} | {(0, 0): "t10", (99, 1): "t21"}
     rollup = {r.doc_id: (r.blocks, r.translated, r.ok, r.failed) for r in QUERIES["quality_rollup"](spark, d).collect()}
     assert rollup == {0: (3, 1, 1, 0), 99: (3, 1, 0, 1), 100: (3, 0, 0, 0), 101: (3, 0, 0, 0), 250: (3, 0, 0, 0)}
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_terms_of_documents_beyond_ascii(spark, tables):
+    d = tables(documents=([(i, t, "de", "s", len(t)) for i, t in enumerate(["Über die NATO heute", "Die NATO für alle, ÄÖÜX", "das ÄÖÜX"])], DOCUMENTS))
+    terms = {r.term: r.n for r in QUERIES["candidate_terms"](spark, d).collect()}
+    assert terms == {"NATO": 2}
