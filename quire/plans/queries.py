@@ -240,7 +240,7 @@ def label_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 7 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select((F.col("user_id") % 100).alias("doc_id"), (F.col("event_id") % 10).alias("block_id"), F.col("event_id").alias("id"))
 
 
@@ -365,8 +365,7 @@ def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mid_sentence_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = F.substring("text", 1, 120)
-    return _typed(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), T.ends_mid_sentence(cut).alias("cut"))
+    return _typed(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), T.ends_mid_sentence(F.col("text")).alias("cut"))
 
 
 @query
@@ -432,7 +431,7 @@ def nearest_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("page"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_discount") * 1000).alias("y0"))
     lines = lines.withColumns({"x1": F.col("x0") + 50, "y1": F.col("y0") + 10})
-    rects = table(spark, sf_dir, "part").where("p_partkey <= 60").select((F.col("p_partkey") % 20).alias("page"), F.col("p_partkey").alias("region"), (F.col("p_size") * 8).cast("double").alias("x0"), F.lit(20.0).alias("y0"), (F.col("p_size") * 8 + 90).cast("double").alias("x1"), F.lit(65.0).alias("y1"))
+    rects = table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("page"), F.col("p_partkey").alias("region"), (F.col("p_size") * 8).cast("double").alias("x0"), F.lit(20.0).alias("y0"), (F.col("p_size") * 8 + 90).cast("double").alias("x1"), F.lit(65.0).alias("y1"))
     out = regions.members(lines, rects, keys=["page"])
     return out.where("region IS NOT NULL").groupBy("page", "region").agg(F.count(F.lit(1)).alias("lines"))
 
