@@ -1,17 +1,23 @@
 """Personal data by weak supervision: labelers vote, expectation-maximisation weighs them, a span classifier decides.
 
-Every text is scanned for candidate spans of four kinds (email, ip, card, phone) by patterns wider than the strict base
-ones. Five labelers vote on each candidate: the strict pattern (``form``), a checksum or range check (``valid``), a
-gazetteer of known endings, prefixes and codes (``known``), words before it (``context``) and its borders (``border``);
-a vote is no, yes or abstain. Votes and a few shape features make a code; counts of codes over *all* texts go to the
-driver, whose size is bounded by the number of codes (``KINDS`` x 3^5 x ``SHAPES``), not by the input.
-
-For each kind, expectation-maximisation on those counts estimates each labeler's votes given a true or false span, with
-base spans held true. Its posteriors are the soft labels of a logistic span classifier over votes and shape. A second
-pass over the texts keeps base spans always and adds candidates that overlap no base span and that the classifier accepts.
-
-Offsets are code points, the end exclusive. Defined cases: a null text is empty and has no spans; repeated rows give
-repeated rows; an empty table gives an empty table and accepts nothing. Only the named columns are read.
+Every text is scanned for candidate spans of four kinds (email, ip, card, phone): those of the strict base patterns, and those
+of wider ones. Five labelers vote on each candidate: a regular expression of the usual way to write it (``form``), a
+checksum or range check (``valid``), a gazetteer of known endings, prefixes and codes (``known``), words before it
+(``context``) and its borders (``border``); a vote is no, yes or abstain. Votes, a few shape features and whether it is a base
+span make a code; counts of codes over *all* texts go to the driver, whose size is bounded by the number of codes (``KINDS`` x
+2 x 3^5 x ``SHAPES``), not by the input.
+
+For each kind, expectation-maximisation on those counts estimates how each labeler votes on true and on false spans. Base
+spans are anchors, held true; that a span is one is no vote, so that other spans aren't judged by lacking it. The posteriors
+are the soft labels of a logistic span classifier over votes and shape. A second pass over the texts keeps base spans
+always and adds candidates that overlap no base span and that the classifier accepts.
+
+Every scan is linear in the text, whatever stands in it: runs of characters are consumed once, never from each start anew.
+
+Offsets are code points, the end exclusive. Defined cases: a null text is empty and has no spans; of wider candidates that
+overlap, the first kind's in the order of ``KINDS`` stays; spans of two kinds that start alike are in that order too;
+repeated rows give repeated rows; an empty table gives an empty table and accepts nothing. Only the named columns are read;
+others pass through :func:`redact` whatever their names.
 """
 
 from __future__ import annotations
@@ -35,29 +41,41 @@ SHAPES = 8
 NO, YES, ABSTAIN = 0, 1, 2
 ACCEPT = 0.5
 
-#: Fixed values of the contract: the base patterns.
-BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
-#: Wider patterns: spelled-out addresses, numbers that fail a check, national phone numbers.
-WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+"),
-    "ip": BASE["ip"],
-    "card": BASE["card"],
-    "phone": re.compile(r"(?:\+?[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"),
+Span = tuple[int, int]
+
+#: Fixed values of the contract: the base patterns are
+#: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+, ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+),
+#: card [0-9]([\x20-]?[0-9])+ and phone \+[0-9][\x20().0-9-]+[0-9]; below they are in parts that are scanned once.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: A run of digits is taken with three more or alone, so that the search goes on behind it.
+FOUR = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Wider: spelled-out addresses, numbers that fail a check, national phone numbers.
+AT = re.compile(r"@|\(at\)|\[at\]")
+SPELLED_DOMAIN = re.compile(r" ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++")
+NATIONAL = re.compile(r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
+#: The usual way to write each kind.
+FORM = {
+    "email": re.compile(r"[^\s@]+@[^\s@]+\.[A-Za-z]{2,}|\S+ ?[(\[]at[)\]] ?\S+(?: ?[(\[]dot[)\]] ?[A-Za-z-]+)+"),
+    "ip": re.compile(r"(?:(?:0|[1-9][0-9]{0,2})(?:\.(?!$)|$)){4}"),
+    "card": re.compile(r"[0-9]{13,19}|(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}"),
+    "phone": re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}(?:[ .-][0-9]{2,4})+"),
 }
 #: Gazetteers, and words that announce a kind.
-ENDINGS = frozenset("com net org edu gov io de fr es uk eu info example".split())
-CARD_STARTS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
-DIAL_CODES = frozenset("1 33 34 39 41 43 44 49".split())
+ENDINGS = frozenset(
+    "com net org edu gov mil int info biz name pro io ai app dev me tv co example test "
+    "at au be bg br ca ch cl cn cz de dk ee es eu fi fr gr hk hr hu ie il in is it jp kr lt lu lv mx nl no nz pl pt ro rs ru se sg si sk th tr tw ua uk us za".split()
+)
+CARD_STARTS = ("34", "36", "37", "38", "4", "50", "51", "52", "53", "54", "55", "56", "58", "6011", "62", "63", "64", "65", "67", "35")
+DIAL_CODES = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 98 351 352 353 354 358 359 370 371 372 380 385 386 420 421 852 886 966 971 972".split())
+NETWORKS = ("10.", "127.", "172.16.", "192.168.", "169.254.", "8.8.")
 CONTEXT = {
-    "email": re.compile(r"(?i)mail|contact|write"),
-    "ip": re.compile(r"(?i)\bip\b|server|host|address"),
-    "card": re.compile(r"(?i)card|visa|credit|tarjeta|karte|carte"),
-    "phone": re.compile(r"(?i)phone|call|tel|fax|mobile"),
+    "email": re.compile(r"(?i)mail|contact|write|reach|correo|schreib|écri"),
+    "ip": re.compile(r"(?i)\bip\b|server|host|address|login|client|ping|dirección|adresse"),
+    "card": re.compile(r"(?i)card|visa|credit|debit|amex|payment|tarjeta|karte|carte"),
+    "phone": re.compile(r"(?i)phone|call|\btel|fax|mobile|dial|\bsms\b|ring|teléfono|telefon|appel|anruf"),
 }
 BEFORE = 30
 _DIGIT = re.compile(r"[0-9]")
@@ -79,7 +97,8 @@ def _digits(s: str) -> str:
 
 def _valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        parts = [p.lstrip("0") for p in s.split(".")]
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
     if kind == "card":
         d = _digits(s)
         return 13 <= len(d) <= 19 and luhn(d)
@@ -93,58 +112,120 @@ def _may_have(text: str) -> tuple[bool, bool]:
     return "@" in text or "(at)" in text or "[at]" in text, _DIGIT.search(text) is not None
 
 
+def _addresses(text: str, at: Iterator[Span], domain: re.Pattern, gap: str) -> Iterator[Span]:
+    """Addresses around places (start, end) of the sign: the characters before one are looked at once."""
+    low = 0
+    for a, b in at:
+        if a < low:
+            continue
+        before = text[low:a]
+        stem = before.removesuffix(gap) if gap else before
+        start = low + len(stem.rstrip(LOCAL))
+        found = domain.match(text, b) if start < low + len(stem) else None
+        low = b
+        if found is not None:
+            yield start, found.end()
+            low = found.end()
+
+
+def _signs(text: str) -> Iterator[Span]:
+    at = text.find("@")
+    while at >= 0:
+        yield at, at + 1
+        at = text.find("@", at + 1)
+
+
+def _spans(pattern: re.Pattern, text: str) -> Iterator[Span]:
+    return (m.span() for m in pattern.finditer(text))
+
+
+def _strict(kind: str, text: str) -> Iterator[Span]:
+    """Leftmost spans of a base pattern, checked or not."""
+    if kind == "email":
+        return _addresses(text, _signs(text), DOMAIN, "")
+    if kind == "ip":
+        return (m.span() for m in FOUR.finditer(text) if m.group(1) is not None)
+    return _spans(CARD if kind == "card" else PHONE, text)
+
+
+def _wide(kind: str, text: str) -> Iterator[Span]:
+    """Leftmost spans of a wider pattern."""
+    if kind == "email":
+        return _addresses(text, _spans(AT, text), SPELLED_DOMAIN, " ")
+    if kind == "ip":
+        return _strict(kind, text)
+    if kind == "card":
+        return ((s, e) for s, e in _strict(kind, text) if e - s <= 2 * 19 and 13 <= len(_digits(text[s:e])) <= 19)
+    return _spans(NATIONAL, text)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), by kind, then start."""
     mail, number = _may_have(text)
     found = []
     for k, kind in enumerate(KINDS):
         if mail if kind == "email" else number and (kind != "phone" or "+" in text):
-            found += [(k, m.start(), m.end()) for m in BASE[kind].finditer(text) if _valid(kind, m.group())]
+            found += [(k, s, e) for s, e in _strict(kind, text) if _valid(kind, text[s:e])]
     return found
 
 
-def _code(k: int, text: str, start: int, end: int, strict: bool) -> int:
+def _code(k: int, text: str, start: int, end: int, base: bool) -> int:
     kind, s = KINDS[k], text[start:end]
     digits = _digits(s)
-    votes = [YES if strict else NO, YES if _valid(kind, s) else NO]
+    valid = ABSTAIN if kind == "email" else YES if _valid(kind, s) else NO
     if kind == "email":
-        votes[1] = ABSTAIN
         known = YES if re.split(r"[ .)\]]", s)[-1].lower() in ENDINGS else NO
     elif kind == "ip":
-        known = YES if s.startswith(("10.", "192.168.", "127.")) else ABSTAIN
+        known = YES if s.startswith(NETWORKS) else ABSTAIN
     elif kind == "card":
         known = YES if digits.startswith(CARD_STARTS) else NO
     else:
-        known = (YES if any(digits.startswith(c) for c in DIAL_CODES) else NO) if s.startswith("+") else ABSTAIN
+        known = (YES if digits.startswith(DIAL_CODES) else NO) if s.startswith("+") else ABSTAIN
     context = YES if CONTEXT[kind].search(text[max(0, start - BEFORE) : start]) else ABSTAIN
     joined = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
-    votes += [known, context, NO if joined else YES]
+    # What is longer than any usual way to write it isn't one; the patterns see short strings only.
+    form = YES if len(s) <= 254 and FORM[kind].fullmatch(s) else NO
     n = len(digits) if kind != "email" else len(s)
     size = 0 if n < 9 else 1 if n < 13 else 2 if n < 17 else 3
-    code = k
-    for v in votes:
+    code = 2 * k + base
+    for v in (form, valid, known, context, NO if joined else YES):
         code = code * 3 + v
     return (code * SHAPES) + size * 2 + (" " in s or "-" in s)
 
 
+def _free(spans: Iterator[Span], taken: list[Span]) -> list[Span]:
+    """Those of ascending spans that overlap none of ``taken``, ascending and apart; one sweep over both."""
+    out, i = [], 0
+    for s, e in spans:
+        while i < len(taken) and taken[i][1] <= s:
+            i += 1
+        if i == len(taken) or taken[i][0] >= e:
+            out.append((s, e))
+    return out
+
+
+def _union(spans: list[Span]) -> list[Span]:
+    out: list[Span] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(kind, start, end, code) of the base spans, then of wider ones that overlap none of them nor one another."""
     mail, number = _may_have(text)
     if not (mail or number):
         return []
     out = [(k, s, e, _code(k, text, s, e, True)) for k, s, e in base]
-    taken = sorted((s, e) for _, s, e in base)
+    taken = _union([(s, e) for _, s, e in base])
     for k, kind in enumerate(KINDS):
-        if not (mail if kind == "email" else number):
-            continue
-        for m in WIDE[kind].finditer(text):
-            s, e = m.span()
-            if kind == "card" and not 13 <= len(_digits(m.group())) <= 19:
-                continue
-            if any(s < b and a < e for a, b in taken):
-                continue
-            taken.append((s, e))
-            out.append((k, s, e, _code(k, text, s, e, False)))
+        if mail if kind == "email" else number:
+            free = _free(_wide(kind, text), taken)
+            out += [(k, s, e, _code(k, text, s, e, False)) for s, e in free]
+            taken = _union(taken + free) if free else taken
     return out
 
 
@@ -164,21 +245,26 @@ def code_counts(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     return {r.code: r.n for r in rows.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}
 
 
-def votes_of(code: int) -> tuple[int, list[int], int]:
+def votes_of(code: int) -> tuple[int, bool, list[int], int]:
+    """(kind, whether a base span, votes, shape)."""
     code, shape = divmod(code, SHAPES)
     votes = []
     for _ in LABELERS:
         code, v = divmod(code, 3)
         votes.append(v)
-    return code, votes[::-1], shape
+    return code // 2, bool(code % 2), votes[::-1], shape
+
 
+def reliabilities(votes: np.ndarray, anchored: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of each vote pattern, and P(vote | false/true) as [class, labeler, vote], by expectation-maximisation.
 
-def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each vote pattern, and P(vote | false/true) as [class, labeler, vote], by expectation-maximisation."""
-    base = (votes[:, 0] == YES)
+    Anchored patterns are held true. The others begin at their share of yes among the votes that aren't abstentions; those
+    that fail a check begin as false.
+    """
     said = votes != ABSTAIN
     post = np.clip((np.where(said, votes, 0).sum(1) + 0.5) / (said.sum(1) + 1), 0.05, 0.95)
-    post[base] = 0.99
+    post[votes[:, 1] == NO] = 0.05
+    post[anchored] = 0.99
     p = np.zeros((2, votes.shape[1], 3))
     for _ in range(rounds):
         for c, q in ((0, 1 - post), (1, post)):
@@ -188,7 +274,7 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[n
         prior = np.clip((post * n).sum() / n.sum(), 0.01, 0.99)
         each = np.log(np.take_along_axis(p[:, None], votes[None, :, :, None].repeat(2, 0), 3)[..., 0]).sum(2)
         post = 1 / (1 + np.exp(np.clip(each[0] - each[1] + np.log((1 - prior) / prior), -30, 30)))
-        post[base] = np.maximum(post[base], 0.99)
+        post[anchored] = np.maximum(post[anchored], 0.99)
     return post, p
 
 
@@ -203,11 +289,11 @@ def accepted_codes(counts: dict[int, int], rounds: int = 400) -> set[int]:
         return set()
     codes = sorted(counts)
     split = [votes_of(c) for c in codes]
-    kinds, votes, shapes = np.array([s[0] for s in split]), np.array([s[1] for s in split]), np.array([s[2] for s in split])
+    kinds, anchored, votes, shapes = (np.array(column) for column in zip(*split, strict=True))
     n = np.array([counts[c] for c in codes], float)
     soft = np.zeros(len(codes))
     for k in set(kinds.tolist()):
-        soft[kinds == k] = reliabilities(votes[kinds == k], n[kinds == k])[0]
+        soft[kinds == k] = reliabilities(votes[kinds == k], anchored[kinds == k], n[kinds == k])[0]
     x, w = _features(kinds, votes, shapes), np.zeros(_features(kinds[:1], votes[:1], shapes[:1]).shape[1])
     weight = np.sqrt(n) / np.sqrt(n).sum()
     for _ in range(rounds):
