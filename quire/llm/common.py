@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to Python; keeps a batch of long texts well inside a worker's memory.
+#: Rows, and bytes, in one Arrow batch sent to Python; keeps a batch of long texts well inside a worker's memory.
 ARROW_ROWS = 512
+ARROW_BYTES = 32 << 20
 #: A batch is cut further so that a step in Python sees at most about this many characters (or one text).
 STEP_CHARS = 4_000_000
+#: The least and most bits of a :class:`Sieve`, and how many it should have for a value.
+SIEVE_LEAST, SIEVE_MOST, SIEVE_BITS = 1 << 16, 1 << 27, 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,31 +32,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches: texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Small Arrow batches, as texts can be long: the session's limits are lowered, never raised."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"([0-9]+)[bB]?", spark.conf.get(key))
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's checkpoint folder, or a local one where none is set."""
+    """The folder that all executors share: the cluster's checkpoint folder, or a local one in local mode where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return sc.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Scratch folders that weren't deleted yet, and the session of each.
+_scratch: dict[str, SparkSession] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is written there lives until :func:`forget`, :func:`clean` or the program's end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
+
+
+def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows as a table in the shared folder: lost executors don't bring recomputation, and plans end here.
 
     A checkpoint would keep the size that the optimizer estimated, which grows without bound over rounds of joins; a table
     has the size of its files.
     """
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.quire_path = path
+    return out
+
+
+def forget(*tables: DataFrame | str | None) -> None:
+    """Delete tables of :func:`durable`, or scratch paths, that nothing reads any more."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "quire_path", None)
+        spark = _scratch.pop(path, None) if path else None
+        if spark is not None and spark.sparkContext._jsc is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def clean() -> None:
+    """Delete all scratch tables of this program: results that were not stored elsewhere go too. Runs at the program's end."""
+    for path in list(_scratch):
+        try:
+            forget(path)
+        except Exception:  # noqa: BLE001 - the session may be gone, and the end of the program is no place to fail
+            _scratch.pop(path, None)
+
+
+def spare(taken: Sequence[str], name: str) -> str:
+    """A column name that is none of ``taken``, whatever their case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def worker_memory(owner: str) -> dict:
@@ -72,11 +124,66 @@ def salted_join(many: DataFrame, few: DataFrame, on: Sequence[str], how: str, sa
     """Join on keys of which one may hold a third of the rows of ``many``.
 
     ``few`` has one row a key and is repeated ``salts`` times; a key's rows in ``many`` go to ``salts`` tasks by the hash of
-    ``salt_by``. ``how`` is inner, left, left_semi or left_anti.
+    ``salt_by``. ``how`` is inner, left, left_semi or left_anti. Null keys match nothing.
+    """
+    salt = spare([*many.columns, *few.columns], "salt")
+    left = many.withColumn(salt, F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    right = few.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return left.join(right, [*on, salt], how).drop(salt)
+
+
+def hot_join(many: DataFrame, few: DataFrame, key: str, n: str, salt_by: Sequence[Column], salts: int = 32, share: int = 1000) -> DataFrame:
+    """Inner join on a key where ``few`` knows how many rows of ``many`` each key has, in column ``n``.
+
+    Only keys with more than a ``share``-th of all rows are salted. Fewer than ``share`` keys can have as many, so their list
+    is bounded whatever the tables; ``few`` is not repeated for all others.
     """
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    total = few.agg(F.sum(n)).first()[0] or 0
+    hot = [r[0] for r in few.where(F.col(n) > max(total / share, 1000)).select(key).collect()]
+    if not hot:
+        return many.join(few, key)
+    salt = spare([*many.columns, *few.columns], "salt")
+    is_hot = F.col(key).isin(hot)
+    left = many.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(*salt_by), F.lit(salts))).otherwise(0).cast("int"))
+    right = few.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, salt]).drop(salt)
+
+
+class Sieve:
+    """A Bloom filter of 64-bit values: :meth:`may_hold` is true of every value in it, and of few others.
+
+    It is sent to every task; its size is bounded by ``SIEVE_MOST`` bits (16 MB) whatever the number of values, so for more than
+    some ten million values it lets more and more of the others pass. Users join exactly what passes, so results don't depend on it.
+    """
+
+    def __init__(self, values: DataFrame, column: str, most: int = SIEVE_MOST) -> None:
+        bits = SIEVE_LEAST
+        n = values.count()
+        while bits < min(most, SIEVE_BITS * n):
+            bits *= 2
+        places = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(i)), F.lit(bits)) for i in range(4)])).alias("at")
+        at = values.select(places)
+        words = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("set"))
+        held = words.toArrow()
+        table = np.zeros(bits // 64, np.int64)
+        table[held["word"].to_numpy()] = held["set"].to_numpy()
+        self.bits = bits
+        self.sent = values.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def may_hold(self, value: Column) -> Column:
+        """Whether the column's value may be in the sieve; JVM-side hashes, one look-up in Python."""
+        sent = self.sent
+
+        @F.pandas_udf("boolean")
+        def passes(at: pd.DataFrame) -> pd.Series:
+            table = sent.value
+            ok = np.ones(len(at), bool)
+            for c in at.columns:
+                p = at[c].to_numpy().astype(np.uint64)
+                ok &= (table[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            return pd.Series(ok)
+
+        return passes(F.struct(*[F.pmod(F.xxhash64(value, F.lit(i)), F.lit(self.bits)).alias(f"p{i}") for i in range(4)]))
 
 
 def text_steps(texts: Sequence[str | None], most: int = STEP_CHARS) -> Iterator[tuple[int, list[str]]]:

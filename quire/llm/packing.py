@@ -12,8 +12,8 @@ last. The plan is made on how many pieces there are of each length, at most ``ca
 4. Best fit: large pieces that are left, then small ones, in descending order, go where the least room stays.
 
 The plan is a list of runs (length, first rank, count, sequence, offset). A piece's rank among its length is its rank in a
-hash bucket of its length plus the counts of the buckets before, so no task holds a length, and its run is found by binary
-search. Pieces are written to the shared folder once, so that plan and ranks see the same rows.
+hash bucket of its length plus the counts of the buckets before; a length has as many buckets as its count needs, so no task
+holds a length, and its run is found by binary search. Pieces are written to the shared folder once, so that plan and ranks see the same rows.
 
 Defined cases: a null text is empty, and an empty text is one piece of the end id alone; repeated rows are packed each;
 null ids are kept; an empty table gives an empty table. Only the named columns are read.
@@ -22,6 +22,7 @@ null ids are kept; an empty table gives an empty table. Only the named columns a
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,7 +40,8 @@ END_ID = 1
 GROUPS = (12, 24, 48, 96)
 #: Lengths above a sequence's eighth are large.
 LARGE_SHARE = 8
-BUCKETS = 64
+#: Pieces of one length that one task ranks.
+BUCKET = 100_000
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks and words whose ids a worker remembers; what comes beyond is forgotten after its batch.
 CHUNKS, WORDS = 200_000, 300_000
@@ -50,8 +52,10 @@ STEP = 500_000
 class Tokens:
     """Token ids of texts, as little-endian 32-bit numbers.
 
-    The tokenizer's merges never cross a space, nor the border between letters and ASCII punctuation, and it lowers case:
-    so it is run on the distinct lower-case words within what stands between spaces, and on other chunks as they are.
+    The tokenizer's merges never cross a space, nor the border between letters or numbers and ASCII punctuation, and it lowers
+    case: so it is run on the distinct lower-case words within what stands between spaces. Words that its normalisation (lower
+    case, canonical composition) gives a character that is neither, as a combining mark, aren't parted from what follows them;
+    they and all other chunks are encoded as they are. A text that may hold one of the tokenizer's special tokens is encoded whole.
     """
 
     MARK = "~"
@@ -69,7 +73,7 @@ class Tokens:
 
             file = public_tokenizers.path(file)
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.special = tuple({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.known: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
         self.mark = self._encode(self.MARK)
@@ -118,18 +122,23 @@ class Tokens:
             if m is None:
                 return chunk, ""
             word, rest = m.groups()
-        # Beyond Latin, lowering a word and lowering its letters can differ.
-        return (word.lower() if self._latin(word) else word), rest
+        if self._latin(word):
+            return word.lower(), rest
+        # Beyond Latin, lowering a word and lowering its letters can differ, and normal forms can end in marks.
+        if rest and not (unicodedata.normalize("NFC", word.lower()).isalnum() and unicodedata.normalize("NFC", word).lower().isalnum()):
+            return chunk, ""
+        return word, rest
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        whole = {i: self._encode(t).tobytes() for i, t in enumerate(texts) if any(m in t for m in self.special)}
+        chunks = [[""] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         fresh = list(set().union(*chunks).difference(self.known))
         split = [(c.lower(), "") if c.isascii() and c.isalpha() else self._split(c) for c in fresh]
         new = list({w for pair in split for w in pair}.difference(self.words))
         self._learn_words(new)
         words = self.words
         self.known.update(zip(fresh, [words[w] + words[rest] for w, rest in split], strict=True))
-        out = [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        out = [whole[i] if i in whole else b"".join(map(self.known.__getitem__, c)) for i, c in enumerate(chunks)]
         for held, added, most in ((self.known, fresh, CHUNKS), (words, new, WORDS)):
             if len(held) > most:
                 for c in added:
@@ -304,16 +313,20 @@ def _plan(counts: dict[int, int], capacity: int, groups: int) -> Plan:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset), one row a piece."""
-    cut = pieces(docs, id_col, text_col, capacity, tokenizer)
-    cut = durable(cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")))
-    sizes = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    spark = docs.sparkSession
+    cut = durable(pieces(docs, id_col, text_col, capacity, tokenizer))
+    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # One row a length: at most ``capacity`` of them.
+    lengths = spark.createDataFrame([(x, -(-n // BUCKET)) for x, n in counts.items()], "length long, buckets long")
+    tie = F.xxhash64("id", "piece", "ids_crc32")
+    bucketed = cut.join(F.broadcast(lengths), "length").withColumn("bucket", F.pmod(tie, F.col("buckets"))).drop("buckets")
+    sizes = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     runs = np.array(sorted(plan(counts, capacity).runs), np.int64).reshape(-1, 5)
-    sent = docs.sparkSession.sparkContext.broadcast((runs[:, 0] << 40 | runs[:, 1], runs[:, 1], runs[:, 3], runs[:, 4]))
+    sent = spark.sparkContext.broadcast((runs[:, 0] << 40 | runs[:, 1], runs[:, 1], runs[:, 3], runs[:, 4]))
 
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = cut.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")))
+    ranked = bucketed.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")))
     ranked = ranked.join(starts, ["length", "bucket"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

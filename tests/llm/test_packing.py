@@ -30,6 +30,32 @@ def test_tokens_equal_the_tokenizer(tokenizer):
         assert [np.frombuffer(b, "<u4").tolist() for b in tokens([t or "" for t in TEXTS])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
 
 
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>", "x<|ENDOFTEXT|>y z", "<| endoftext |>", "İ$]", "İİ..", "\u0958! q", "\ufb1d?? x", "Ⅷ, ½; x", "क़. ꙋ̈!"]
+
+
+def test_tokens_of_special_tokens_and_marks(tokenizer):
+    for texts in (SPECIAL, SPECIAL[::-1]):
+        assert [np.frombuffer(b, "<u4").tolist() for b in P.Tokens(P.TOKENIZER)(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokens_of_random_strings(tokenizer):
+    """10,000 strings of characters whose case or normal form is out of the ordinary, among plain ones."""
+    r = random.Random(1)
+    odd = "İıſßẞΣςǅǆŉΐﬁﬃ\u0958\u095c\ufb1d\u0344\u0301\u0307\u0338\u0345\u1e9e漢字かなカナ한글각ÅÅÅåé́ñΏаЁёĳ½²Ⅷⅷ٣३１\u200d\ufe0f😀\u00a0\u2028\u3000'’"
+    plain = "abcdeXYZ019 .,;:!?$]()<|>~-_'\n\t\"#/"
+    texts = ["".join(r.choice(odd if r.random() < 0.45 else plain) for _ in range(r.randint(1, 14))) for _ in range(10_000)]
+    tokens = P.Tokens(P.TOKENIZER)
+    got = [np.frombuffer(b, "<u4").tolist() for i in range(0, len(texts), 500) for b in tokens(texts[i : i + 500])]
+    wrong = [t for t, ids in zip(texts, got, strict=True) if ids != tokenizer.encode(t, add_special_tokens=False).ids]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_a_length_is_ranked_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET", 7)
+    rows = P.query(frame(spark, [""] * 200 + ["one two"] * 31)).collect()
+    assert len(rows) == 231 and len({(r.sequence_id, r.offset) for r in rows}) == 231
+
+
 def test_pack(spark, tokenizer, empty):
     texts = TEXTS + [words(random.Random(i).randint(1, 1500), i) for i in range(120)]
     rows = P.query(frame(spark, texts)).collect()
