@@ -15,8 +15,10 @@ that does, so texts are filtered first and the windows of the rest are counted i
 Templates are a fixed list, so the index is small and sent to every task; nothing is shuffled but the word counts.
 
 Words are runs of ASCII letters and digits and all other characters beyond ASCII, with A-Z in lower case. Defined cases:
-a null text is empty, has no words, labels '' and score 0; repeated rows give repeated rows; an empty table gives an
-empty table. Only the named columns are read.
+a null text is empty, has no words, labels '' and score 0; template words that occur equally often are in the order of their
+bytes, on which no match depends; of overlapping windows of a template with as many of its words the first is given; repeated
+rows give repeated rows; an empty table gives an empty table. Every step is linear in the text, for each template. Only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -154,9 +156,11 @@ def places(words: list[bytes]) -> list[tuple[int, str]]:
     out = []
     for phrase, label in PHRASES:
         key = b" " + phrase.encode() + b" "
-        at = joined.find(key)
+        at, seen, word = joined.find(key), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            word += joined.count(b" ", seen, at)  # each stretch is counted once
+            seen = at
+            out.append((word, label))
             at = joined.find(key, at + 1)
     return out
 
@@ -203,20 +207,24 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """Phrases by position, and every line against every notice."""
+    """Phrases by position, and for each notice every window that begins at one of its words."""
     words = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES)
-    notices = ", ".join(f"({k}, '{label}', {sorted({w.decode() for w in words_of(t)})!r})" for k, (label, t) in enumerate(NOTICES))
+    index = build_index({})
+    notices = ", ".join(f"({k}, '{label}', {[w.decode() for w in index.words[k]]!r}, {index.widths[k]}, {index.needed[k]})" for k, label in enumerate(index.labels))
     return f"""
-WITH phrases(p, label) AS (VALUES {phrases}), notices(k, label, t) AS (VALUES {notices}),
-docs AS (SELECT doc_id, coalesce(text, '') AS text, {words.format(t="coalesce(text, '')")} AS w FROM documents),
+WITH phrases(p, label) AS (VALUES {phrases}), notices(k, label, t, width, needed) AS (VALUES {notices}),
+docs AS (SELECT doc_id, {words.format(t="coalesce(text, '')")} AS w FROM documents),
 places AS (
   SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS pos FROM docs, phrases),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
-found AS (
-  SELECT doc_id, label, len(list_intersect(list_distinct(x), t))::DOUBLE / len(t) AS c FROM (SELECT doc_id, {words.format(t="line")} AS x FROM lines) l, notices),
-good AS (SELECT doc_id, label, c FROM found WHERE c >= {CONTAINMENT}::DOUBLE - 1e-9),
+likely AS (SELECT doc_id, w, k, label, t, width, needed FROM docs, notices WHERE len(list_intersect(list_distinct(w), t)) >= needed),
+hits AS (SELECT doc_id, k, label, len(t) AS n, width, needed, unnest(list_filter(list_zip(w, range(len(w))), lambda x: list_contains(t, x[1]))) AS h FROM likely),
+own_words AS (SELECT doc_id, k, label, n, width, needed, h[1] AS word, h[2] AS pos FROM hits),
+windows AS (
+  SELECT a.doc_id, a.label, a.n, a.needed, count(DISTINCT b.word) AS c FROM own_words a JOIN own_words b ON a.doc_id = b.doc_id AND a.k = b.k AND b.pos >= a.pos AND b.pos < a.pos + a.width
+  GROUP BY a.doc_id, a.k, a.label, a.n, a.needed, a.pos),
+good AS (SELECT doc_id, label, c::DOUBLE / n AS c FROM windows WHERE c >= needed),
 own AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM places GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM good) GROUP BY doc_id),
 best AS (SELECT doc_id, max(c) AS c FROM good GROUP BY doc_id)

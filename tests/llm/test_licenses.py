@@ -2,6 +2,11 @@ from __future__ import annotations
 
 import random
 import re
+import time
+
+import duckdb
+import pyarrow as pa
+import pytest
 
 from quire.llm import licenses as L
 
@@ -97,3 +102,25 @@ def test_windows_match_every_window_counted():
             if any(len(t & set(w[i : i + n])) >= index.needed[k] for i in range(len(w))):
                 want.add(k)
         assert {k for _, _, k, _ in L.matches(w, index)} == want
+
+
+def test_sql_agrees_on_wrapped_and_scattered_notices(spark):
+    texts = corpus()
+    for _, notice in L.NOTICES:
+        w = notice.split()
+        texts += ["\n".join(" ".join(w[i : i + 3]) for i in range(0, len(w), 3)), " x ".join(w), " ".join(w[: len(w) // 2]) + " y" * 60 + " ".join(w[len(w) // 2 :])]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = sorted(con.sql(f"SELECT {', '.join(names)} FROM ({L.oracle_sql()})").fetchall())
+    got = sorted(tuple(r[c] for c in names) for r in L.query(frame(spark, texts)).collect())
+    assert [g[:-1] for g in got] == [w[:-1] for w in want] and [g[-1] for g in got] == pytest.approx([w[-1] for w in want])
+    assert sum(g[5] != g[6] for g in got) > 20  # labels beyond the base
+
+
+def test_places_take_linear_time():
+    words = L.words_of("cc by " * 200_000 + "permission is hereby granted " * 50_000)
+    began = time.process_time()
+    assert len(L.places(words)) == 200_000
+    L.matches(words, L.build_index({}))
+    assert time.process_time() - began < 5
