@@ -6,18 +6,23 @@
    find a pair at the threshold with the target recall within ``HASHES`` hashes.
 3. Band hashes are shuffled. A bucket links its members to its least one: as many edges as members, not pairs. Connected
    parts of these edges hold every candidate pair.
-4. Each part is verified exactly, on full n-gram sets. Parts beyond ``TILE`` nodes (or ``TILE_CHARS`` characters) are dealt
-   into blocks and verified block against block, so no task holds a large part. A tile gives the number of documents that
-   each node is linked to and a spanning forest of its links, never the pairs.
+4. Each part is verified exactly, on full n-gram sets. Sets of a pair at the threshold differ in size by its inverse at most, so a
+   part falls into size classes of which only the same and the next are compared. Classes beyond ``TILE`` nodes (or
+   ``TILE_CHARS`` characters) are dealt into blocks and verified block against block, so no task holds a large part. A tile
+   gives the number of documents that each node is linked to and a spanning forest of its links, never the pairs.
 5. Connected parts of the forests are the classes. A document's links are the other documents with similarity of at least
    the threshold, copies included.
 
+Texts move once, compressed, and only those that stand for a node of a part: a sieve (a Bloom filter of bounded size) of
+their ids spares the others the shuffle, as one of shared buckets does for band hashes. What passes is joined exactly.
+
 No pair of linked texts is lost but by the band's recall (0.9999 at the threshold, more above). Hot buckets, copies and
 classes are aggregated before they are shuffled or salted.
 
 Words are what stands between white space. Defined cases: a null text is empty; texts without words are copies of each
 other; a text of fewer than five words has one n-gram, all its words; rows with equal ids are documents each; a null id is
-the last choice for a class's id; an empty table gives an empty table. Only the named columns are read.
+the last choice for a class's id; where texts of a class tie for the least id one of them stays; an empty table gives an empty
+table. Only the named columns are read; others pass through :func:`keep_first` whatever their names.
 """
 
 from __future__ import annotations
@@ -31,10 +36,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, map_texts, salted_join, tuned, worker_memory
+from quire.llm.common import Sieve, durable, forget, hot_join, map_texts, salted_join, spare, tuned, worker_memory
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -106,15 +111,15 @@ class Signer:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, bands): one row a document; no bands for a text without words."""
+    """(id, key, size, bands): one row a document; size is that of its n-gram set; no bands for a text without words."""
     bands, rows = banding()
 
     def run(texts: list[str]) -> list[pa.Array]:
         sign = Signer(bands, rows)
         sets = [ngrams(t) for t in texts]
-        return [pa.array([key_of(g) for g in sets], pa.binary()), pa.array([sign(g) if len(g) else [] for g in sets], pa.list_(pa.int64()))]
+        return [pa.array([key_of(g) for g in sets], pa.binary()), pa.array([len(g) for g in sets], pa.int64()), pa.array([sign(g) if len(g) else [] for g in sets], pa.list_(pa.int64()))]
 
-    return map_texts(docs, text_col, [id_col], run, "key binary, bands array<long>").withColumnRenamed(id_col, "id")
+    return map_texts(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", ["id"], run, "key binary, size long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -134,13 +139,17 @@ def components(edges: DataFrame) -> DataFrame:
         rounds.append(parents)
         up = salted_join(edges, parents.select(F.col("v").alias("b"), F.col("parent").alias("pb")), ["b"], "inner", [F.col("a")])
         up = salted_join(up, parents.select(F.col("v").alias("a"), F.col("parent").alias("pa")), ["a"], "inner", [F.col("b")])
-        edges = durable(_upright(up.select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
+        before, edges = edges, durable(_upright(up.select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
+        forget(before)
     if not rounds:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    labels = rounds[-1].select("v", F.col("parent").alias("label"))
+        return durable(edges.withColumnsRenamed({"a": "v", "b": "label"}))
+    forget(edges)
+    labels = durable(rounds[-1].select("v", F.col("parent").alias("label")))
     for parents in reversed(rounds[:-1]):
         further = labels.select(F.col("v").alias("parent"), "label")
-        labels = durable(salted_join(parents, further, ["parent"], "left", [F.col("v")]).select("v", F.coalesce("label", "parent").alias("label")))
+        before, labels = labels, durable(salted_join(parents, further, ["parent"], "left", [F.col("v")]).select("v", F.coalesce("label", "parent").alias("label")))
+        forget(before)
+    forget(*rounds)
     return labels
 
 
@@ -155,12 +164,16 @@ def candidate_parts(nodes: DataFrame) -> DataFrame:
     draw the same edges between them.
     """
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first != last").drop("last")
-    leaders = salted_join(members, shared, ["bucket"], "inner", [F.col("node")]).groupBy("node").agg(F.collect_set("first").alias("all"))
-    leaders = leaders.withColumn("least", F.array_min("all"))
+    shared = durable(members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first != last").drop("last"))
+    # Most buckets have one member: only members of what may be shared are shuffled again.
+    some = members.where(Sieve(shared, "bucket").may_hold(F.col("bucket")))
+    leaders = salted_join(some, shared, ["bucket"], "inner", [F.col("node")]).groupBy("node").agg(F.collect_set("first").alias("all"))
+    leaders = durable(leaders.withColumn("least", F.array_min("all")))
     own = leaders.select(F.col("node").alias("a"), F.col("least").alias("b"))
     between = leaders.select(F.explode("all").alias("a"), F.col("least").alias("b"))
-    return components(own.union(between.where("a != b").distinct()))
+    parts = components(own.union(between.where("a != b").distinct()))
+    forget(shared, leaders)
+    return parts
 
 
 def linked(one: list[np.ndarray], two: list[np.ndarray] | None, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -192,8 +205,14 @@ def linked(one: list[np.ndarray], two: list[np.ndarray] | None, threshold: float
     yield np.nonzero(hit)
 
 
-def _verify(rows: list[tuple], low: int, high: int) -> list[tuple]:
-    """rows (block of two, key, n, text) of tile (low, high) to (key, links, other): links of nodes, and edges of a forest."""
+def size_class(size: Column, threshold: float = THRESHOLD) -> Column:
+    """Classes of set sizes: those of a pair at the threshold are equal or next to each other."""
+    # A little wider than the threshold's inverse, so that no rounding parts a pair.
+    return F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(-log(threshold) + 1e-6)).cast("int")
+
+
+def _verify(rows: list[tuple], two: bool) -> list[tuple]:
+    """rows (side, key, n, text) of a tile, of two blocks or one, to (key, links, other): links of nodes, and edges of a forest."""
     unpack = zstandard.ZstdDecompressor()
     seen: dict[bytes, tuple] = {r[1]: r for r in rows}
     first = [r for r in seen.values() if not r[0]]
@@ -210,7 +229,7 @@ def _verify(rows: list[tuple], low: int, high: int) -> list[tuple]:
         return i
 
     out: list[tuple] = []
-    if len(every) < 2 or low < high and not (first and second):  # a block's own pairs are tile (b, b)'s
+    if len(every) < 2 or two and not (first and second):  # a block's own pairs are another tile's
         return out
     for a, b in linked(sets[0], sets[1] if second else None):
         b = b + len(first) * bool(second)
@@ -226,26 +245,40 @@ def _verify(rows: list[tuple], low: int, high: int) -> list[tuple]:
     return out
 
 
-def verified(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """parts (key, first, n, part), first being the id of the document that stands for a node, to (key, links, other)."""
+def _texts(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, chars, packed, n, size, part): the text of one document, that of id ``first``, for each node of parts."""
     level = 3
 
     def run(texts: list[str]) -> list[pa.Array]:
         pack = zstandard.ZstdCompressor(level=level)
         return [pa.array([key_of(ngrams(t)) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([pack.compress(t.encode()) for t in texts], pa.binary())]
 
-    texts = map_texts(docs, text_col, [id_col], run, "key binary, chars long, packed binary").withColumnRenamed(id_col, "id")
-    rows = salted_join(texts, parts, ["key"], "inner", [F.col("id")]).where(F.col("id").eqNullSafe(F.col("first"))).drop("id", "first")
-    rows = durable(rows)
-    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("m"), F.sum("chars").alias("c"))
-    blocks = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("c") / TILE_CHARS)).cast("int")
-    rows = salted_join(rows, sizes.select("part", blocks.alias("blocks")), ["part"], "inner", [F.col("key")])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("side"), "key", "n", "packed")
-    # Whole parts stand together, tile after tile; a tile's rows come one after the other.
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    wanted = Sieve(parts.select(F.xxhash64("first").alias("h")), "h")
+    texts = map_texts(slim.where(wanted.may_hold(F.xxhash64("id"))), "text", ["id"], run, "key binary, chars long, packed binary")
+    rows = salted_join(texts, parts, ["key"], "inner", [F.col("id")]).where(F.col("id").eqNullSafe(F.col("first")))
+    return rows.drop("id", "first")
+
+
+def verified(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """parts (key, first, n, size, part), first being the id of the document that stands for a node, to (key, links, other)."""
+    texts = durable(_texts(docs, parts, id_col, text_col).withColumn("cls", size_class(F.col("size"))))
+    sizes = texts.groupBy("part", "cls").agg(F.count(F.lit(1)).alias("m"), F.sum("chars").alias("c"))
+    sizes = sizes.select("part", "cls", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("c") / TILE_CHARS)).cast("int").alias("blocks"))
+    # A part has as many classes as sizes have, some tens; next ones stand beside each other.
+    row = Window.partitionBy("part").orderBy("cls")
+    beside = lambda w, step: F.when(w(F.col("cls"), 1).over(row) == F.col("cls") + step, w(F.col("blocks"), 1).over(row)).otherwise(0)
+    sizes = sizes.select("part", "cls", "blocks", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
+    rows = salted_join(texts, sizes, ["part", "cls"], "inner", [F.col("key")])
+    rows = rows.withColumn("own", F.struct("cls", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")))
+    blocks = lambda step, n: F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((F.col("cls") + step).alias("cls"), (i - 1).alias("block")))
+    near = [F.when(F.col(n) > 0, blocks(step, F.col(n))).otherwise(F.array().cast("array<struct<cls:int,block:int>>")) for step, n in ((-1, "below"), (0, "blocks"), (1, "above"))]
+    rows = rows.withColumn("other", F.explode(F.concat(*near)))
+    rows = rows.select("part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("side"), "key", "n", "packed")
+    # A tile's rows come one after the other.
     parts_n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts_n, "part", "low", "high").sortWithinPartitions("part", "low", "high")
+    dealt = rows.select("part", F.concat_ws(":", "low.cls", "low.block").alias("low"), F.concat_ws(":", "high.cls", "high.block").alias("high"), "side", "key", "n", "packed")
+    dealt = dealt.repartition(parts_n, "part", "low", "high").sortWithinPartitions("part", "low", "high")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile: tuple | None = None
@@ -255,65 +288,83 @@ def verified(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> D
         for b in batches:
             for *now, side, key, n, packed in zip(*(c.to_pylist() for c in b.columns)):
                 if now != tile:
-                    done += _verify(held, *tile[1:]) if len(held) > 1 else []
+                    done += _verify(held, tile[1] != tile[2]) if len(held) > 1 else []
                     tile, held = now, []
                 held.append((side, key, n, packed))
             if len(done) > 4096:
                 yield batch_of(done)
                 done = []
-        done += _verify(held, *tile[1:]) if len(held) > 1 else []
+        done += _verify(held, tile[1] != tile[2]) if len(held) > 1 else []
         if done:
             yield batch_of(done)
 
-    return dealt.mapInArrow(tiles, "key binary, links long, other binary")
+    found = durable(dealt.mapInArrow(tiles, "key binary, links long, other binary"))
+    forget(texts)
+    return found
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents (id, key) and nodes (key, first, n, class_id, n_links, label).
+    """Documents (id, key) and nodes (key, n, class_id, stays, links, linked), both written down.
 
-    ``first`` is the least id of a node's documents, ``class_id`` of a class's, which other classes may have too; ``label``
-    is the class's own.
+    ``class_id`` is the least id of a class, which other classes may have too; ``stays`` is true of one node of each class, that
+    has a document of this id; ``linked`` of nodes with links to other nodes.
     """
     tuned(docs.sparkSession)
     signed = durable(signatures(docs, id_col, text_col))
-    nodes = durable(signed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")))
+    nodes = durable(signed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     # Candidate parts are of 64 bits of the key: a collision can only make a part larger.
-    nodes = nodes.withColumn("node", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"))
-    parts = candidate_parts(nodes.where(F.size("bands") > 0).select("node", "bands"))
-    in_parts = nodes.select("key", "first", "n", "node").join(parts.select(F.col("v").alias("node"), F.col("label").alias("part")), "node").drop("node")
-    found = durable(verified(docs, in_parts, id_col, text_col))
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    node = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("node")
+    parts = candidate_parts(nodes.where(F.size("bands") > 0).select(node, "bands"))
+    in_parts = durable(nodes.select("key", "first", "n", "size", node).join(parts.select(F.col("v").alias("node"), F.col("label").alias("part")), "node").drop("node"))
+    found = verified(docs, in_parts, id_col, text_col)
     labels = components(found.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    named = nodes.select("key", "first", "n").join(links, "key", "left").join(labels.select(F.col("v").alias("key"), "label"), "key", "left")
-    named = durable(named.select("key", "first", "n", F.coalesce("label", "key").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    ids = named.groupBy("label").agg(F.min("first").alias("class_id"))
-    return signed.select("id", "key"), salted_join(named, ids, ["label"], "inner", [F.col("key")])
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    own = nodes.select("key", "first", "n").join(links, "key").join(labels.select(F.col("v").alias("key"), "label"), "key")
+    least = own.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("null"), "first", "key")).alias("least"))
+    linked = salted_join(own, least, ["label"], "inner", [F.col("key")]).select("key", F.col("least.first").alias("class_id"), (F.col("least.key") == F.col("key")).alias("stays"), "links", F.lit(True).alias("linked"))
+    # Most nodes have no links; the few that do are joined to all, one row a key on both sides.
+    every = nodes.select("key", "first", "n").join(linked, "key", "left")
+    own_id = F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("first"))
+    out = durable(every.select("key", "n", own_id.alias("class_id"), F.coalesce("stays", F.lit(True)).alias("stays"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("linked", F.lit(False)).alias("linked")))
+    forget(nodes, parts, in_parts, found, labels)
+    return signed, out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_links), one row a document."""
     members, nodes = classes(docs, id_col, text_col)
-    out = salted_join(members, nodes.select("key", "class_id", "n_links"), ["key"], "inner", [F.col("id")])
+    out = hot_join(members.select("id", "key"), nodes.select("key", "n", "class_id", "n_links"), "key", "n", [F.col("id")])
     return out.select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class: that of the least id, once if it is repeated."""
-    members, nodes = classes(docs, id_col, text_col)
-    stay = durable(nodes.where(F.col("first").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_key"), F.col("first").alias("_first"), F.col("label").alias("_label")))
-    twice = members.groupBy("key", "id").count().where("count > 1").limit(1).count() > 0
+    """docs with one document of each class: that of the least id, once if it is repeated.
+
+    Documents whose id is surely none that goes stay as they are; only the others move and are decided by their class.
+    """
+    signed, nodes = classes(docs, id_col, text_col)
+    several = nodes.where("n > 1 OR linked").select("key", "n", "class_id", "stays")
+    members = hot_join(signed.select("id", "key"), several, "key", "n", [F.col("id")])
+    stays = F.col("stays") & F.col("id").eqNullSafe(F.col("class_id"))
+    counted = members.select("id", "key", stays.alias("stays")).groupBy("id", "key", "stays").agg(F.count(F.lit(1)).alias("copies"))
+    gone = durable(counted.where("NOT stays OR copies > 1"))
+    twice = gone.where("stays").limit(1).count() > 0
+    sieve = Sieve(gone.select(F.xxhash64("id").alias("h")), "h")
+    may, key = spare(docs.columns, "may"), spare(docs.columns, "key")
+    flagged = docs.withColumn(may, sieve.may_hold(F.xxhash64(F.col(f"`{id_col}`"))))
 
     @F.pandas_udf("binary")
-    def key(texts: pd.Series) -> pd.Series:
+    def key_of_text(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: key_of(ngrams(t or "")))
 
-    rows = docs.withColumn("_key", key(F.col(f"`{text_col}`").cast("string")))
-    kept = salted_join(rows, stay, ["_key"], "inner", [F.col(f"`{id_col}`")]).where(F.col(f"`{id_col}`").eqNullSafe(F.col("_first")))
-    # Two texts of one class can have the same least id.
-    clash = stay.groupBy("_label").count().where("count > 1").limit(1).count() > 0
-    if twice or clash:
-        kept = kept.dropDuplicates(["_label"])
-    return kept.select(*docs.columns)
+    unsure = flagged.where(F.col(f"`{may}`")).withColumn(key, key_of_text(F.col(f"`{text_col}`").cast("string")))
+    others = [spare([*docs.columns, key, may], c) for c in ("class_id", "stays")]
+    decided = salted_join(unsure, several.select(F.col("key").alias(key), F.col("class_id").alias(others[0]), F.col("stays").alias(others[1])), [key], "left", [F.col(f"`{id_col}`")])
+    kept = decided.where(F.col(others[1]).isNull() | F.col(others[1]) & F.col(f"`{id_col}`").eqNullSafe(F.col(others[0])))
+    if twice:  # of rows with equal ids and n-grams one stays
+        kept = kept.dropDuplicates([key])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return flagged.where(~F.col(f"`{may}`")).select(*names).unionAll(kept.select(*names))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.llm import near_duplicates as N
+from quire.llm.common import Sieve, clean, shared_dir
 
 from .conftest import frame, odd_texts, words
 
@@ -117,3 +120,39 @@ def test_links_with_as_many_blocks_as_nodes(spark, monkeypatch):
     rows = {r.doc_id: r for r in N.query(frame(spark, texts)).collect()}
     assert [rows[i].class_id for i in range(len(texts))] == classes
     assert [rows[i].n_links for i in range(len(texts))] == links
+
+
+def test_columns_named_like_helpers(spark):
+    texts = family(words(150, 3), 5, 1, 3) + [words(30, 2), None, ""]
+    docs = frame(spark, texts, [1, 1, 2, 3, None, 4, 5, 6])
+    for c in ("_salt", "salt", "_key", "key", "_first", "may", "stays", "class_id", "n", "h"):
+        docs = docs.withColumn(c, F.lit(c))
+    kept = N.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+    assert N.query(docs).columns == ["doc_id", "class_id", "n_links"]
+
+
+def test_size_classes_hold_every_pair_at_the_threshold(spark):
+    pairs = [(n, m) for n in [*range(1, 400), 10**6, 10**9] for m in {n, -(-4 * n // 5)}]
+    df = spark.createDataFrame(pairs, "n long, m long")
+    assert df.where(N.size_class(F.col("n")) - N.size_class(F.col("m")) > 1).count() == 0
+
+
+def test_sieve(spark):
+    values = spark.range(5000).select((F.col("id") * 7).alias("v"))
+    for most, false in ((1 << 27, 0.02), (1 << 16, 0.5)):
+        sieve = Sieve(values, "v", most)
+        assert values.where(~sieve.may_hold(F.col("v"))).count() == 0
+        others = spark.range(5000).select((F.col("id") * 7 + 3).alias("v"))
+        assert others.where(sieve.may_hold(F.col("v"))).count() <= false * 5000
+    assert values.where(Sieve(values.limit(0), "v").may_hold(F.col("v"))).count() == 0
+
+
+def test_scratch_tables_are_deleted(spark):
+    clean()
+    path = shared_dir(spark).removeprefix("file:")
+    N.query(frame(spark, corpus())).collect()
+    assert len([p for p in os.listdir(path) if p.startswith("table-")]) == 2  # what the result reads
+    clean()
+    assert not [p for p in os.listdir(path) if p.startswith("table-")]
