@@ -7,11 +7,13 @@ sum(min(w, v)) / sum(max(w, v)), their generalised Jaccard similarity, so the sh
 
 :func:`with_next` puts each document beside the next one in ascending order of id without any total order in one task:
 ids are cut at values that occur in the table, each cut's first document also goes, as a guest, to the range before it, and
-each range is sorted on its own. Texts travel compressed.
+each range is sorted on its own. An id, or null, that fills ranges of its own is cut further by the hash of the text; where equal
+rows fill ranges, each task sends one of them on and completes the others, whose next document is equal. Texts travel compressed.
 
 Words are runs of anything but white space. Defined cases: a null text is empty; all texts without words have the same
-fingerprint; rows with equal ids come in the order of a hash of their texts, null ids last, and all of them share the last
-range; a single document is its own next; an empty table gives an empty table. Only the named columns are read.
+fingerprint; rows with equal ids come in the order of a hash of their texts, null ids last; a single document is its own
+next; repeated rows give repeated rows, of which the last has another next document; an empty table gives an empty table. Only
+the named columns are read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import bisect
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import text_steps, tuned
+from quire.llm.common import map_texts, text_steps, tuned
 
 SAMPLES = 64
 #: Entries of a worker's table of (word, count); it is begun anew beyond that.
@@ -110,14 +113,41 @@ def written(prints: np.ndarray) -> list[str]:
     return [p.tobytes().hex() for p in prints.astype("<u4")]
 
 
-def starts_of(docs: DataFrame, id_col: str, ranges: int) -> list[int]:
-    """Ids that occur in the table and cut it into about even ranges; the least id first. Their number is ``ranges`` at most."""
-    shares = [i / ranges for i in range(1, ranges)]
-    col = F.col(f"`{id_col}`").cast("long")
-    row = docs.agg(F.min(col).alias("least"), F.percentile_approx(col, shares or [0.5], 20 * ranges).alias("cuts")).first()
-    if row.least is None:
-        return []
-    return sorted({row.least, *(row.cuts if shares else [])})
+Start = tuple[bool, int, int | None]  # no id, id, hash of the text (none: all rows of the id stand together)
+LOWEST = -(1 << 63)
+
+
+def starts_of(rows: DataFrame, ranges: int) -> tuple[list[Start], frozenset[tuple[bool, int, int]]]:
+    """Starts, which occur in rows (id, tie), that cut them into about even ranges, and the (no id, id, tie) of equal rows that fill one.
+
+    Both are at most about twice ``ranges``, whatever the table; ``tie`` has 53 bits.
+    """
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
+    row = rows.agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("ids"), F.min("id").alias("least"), F.max("id").alias("most")).first()
+    no_ids = row.n - row.ids
+    cuts: list[int] = []
+    filling: list[int] = []
+    if row.ids:
+        # Percentiles are of doubles: of ids beyond 53 bits the upper ones are cut, and the least id of each stands for them.
+        high = F.call_function("shiftright", F.col("id"), F.lit(0 if max(-row.least, row.most) < 1 << 53 else 11))
+        highs = Counter(rows.agg(F.percentile_approx(high, shares, 20 * ranges).alias("cuts")).first().cuts)
+        cuts = [row.least] + [r.id for r in rows.where(high.isin(list(highs))).groupBy(high.alias("high")).agg(F.min("id").alias("id")).collect()]
+        # What holds two ranges' share of the rows stands at several cuts.
+        several = [h for h, k in highs.items() if k > 1]
+        if several:
+            filling = [r.id for r in rows.where(high.isin(several)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * ranges >= 2 * row.n).collect()]
+    starts: set[Start] = {(False, i, None) for i in cuts if i not in filling}
+    equal: set[tuple[bool, int, int]] = set()
+    by_text = [F.col("id").isin(filling)] * bool(filling) + [F.col("id").isNull()] * (no_ids * ranges >= 2 * row.n and no_ids > 0 or not row.ids)
+    if by_text and row.n:
+        ties = rows.where(reduce(lambda a, b: a | b, by_text)).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("tie").alias("least"), F.percentile_approx("tie", shares, 20 * ranges).alias("cuts"))
+        for r in ties.collect():
+            key = (r.id is None, r.id or 0)
+            each = [r.least, *r.cuts]
+            equal |= {(*key, t) for t, k in Counter(each).items() if k * r.n >= row.n}
+            parts = max(1, r.n * ranges // row.n)
+            starts |= {(*key, each[j * len(each) // parts]) for j in range(min(parts, len(each)))}
+    return sorted(starts, key=lambda s: (s[0], s[1], LOWEST if s[2] is None else s[2])), frozenset(equal)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -127,73 +157,85 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     spark = tuned(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    starts = starts_of(docs, id_col, RANGES * parts)
-    last = max(0, len(starts) - 1)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
+    rows = rows.select("id", F.call_function("shiftright", F.xxhash64("t"), F.lit(11)).alias("tie"), "t")
+    starts, equal = starts_of(rows.select("id", "tie"), RANGES * parts)
+    keys = [(no, i, LOWEST if tie is None else tie) for no, i, tie in starts]
+    begins = set(starts)
+    first_columns = {"range": "int", "kind": "int", "no_id": "boolean", "id": "long", "tie": "long", "print": "binary", "packed": "binary", "done": "binary"}
+    out_columns = {"id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
+    arrow = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
+    batch = lambda columns, found: pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], arrow[t]) for k, t in enumerate(columns.values())], names=list(columns))
+
+    def edited(own: str, following: str) -> str:
+        cut = len(own) // 4
+        return own[: len(own) - cut] + following[:cut]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, pack = Sampler(samples), zstandard.ZstdCompressor(level=3)
+        met: dict[tuple, tuple[str, bytes, bytes]] = {}  # of equal rows the one sent on: text, edited print, edited digest
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, ties, texts = (c.to_pylist() for c in b.columns)
             for at, step in text_steps(texts, STEP):
                 prints = [p.tobytes() for p in sampler(step).astype("<u4")]
                 out: list[tuple] = []
-                for i, t, p in zip(ids[at:], step, prints):
-                    raw = t.encode()
-                    row = (i, i is None, xxhash.xxh3_64_intdigest(raw) - (1 << 63), p, pack.compress(raw))
-                    k = last if i is None else max(0, bisect.bisect_right(starts, i) - 1)
-                    out.append((k, False, *row))
-                    if (i is None and not starts) or (starts and i == starts[k]):
-                        out.append(((k - 1) % (last + 1), True, *row))
-                kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds, strict=True)], names=["range", "guest", "id", "no_id", "tie", "print", "packed"])
+                for n, (i, tie, t, p) in enumerate(zip(ids[at:], ties[at:], step, prints)):
+                    key = (i is None, i or 0, tie)
+                    own = (*key[:1], i, tie, p)
+                    if key in equal:
+                        if key in met and met[key][0] == t:
+                            _, edited_print, digest = met[key]
+                            out.append(((n + tie) % len(keys), 0, *own, edited_print, len(t).to_bytes(8, "little") + digest))
+                            continue
+                        if key not in met:
+                            e = edited(t, t)
+                            met[key] = (t, sampler([e])[0].astype("<u4").tobytes(), hashlib.sha256(e.encode()).digest())
+                    packed = pack.compress(t.encode())
+                    k = max(0, bisect.bisect_right(keys, key) - 1)
+                    out.append((k, 1, *own, packed, None))
+                    if keys and (key in begins or (*key[:2], None) in begins) and keys[k][:2] == key[:2] and (starts[k][2] is None or starts[k][2] == tie):
+                        out.append(((k - 1) % len(keys), 2, *own, packed, None))
+                yield batch(first_columns, out)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, pack = Sampler(samples), zstandard.ZstdDecompressor()
         before: tuple | None = None
-        waiting: list[tuple] = []
+        waiting: list[tuple] = []  # id, characters, edited text, print, next print
+        done: list[tuple] = []  # id, characters, digest, print, edited print, next print
         chars = 0
 
         def flush() -> pa.RecordBatch:
-            own = np.frombuffer(b"".join(w[3] for w in waiting), "<u4").reshape(len(waiting), -1)
-            following = np.frombuffer(b"".join(w[4] for w in waiting), "<u4").reshape(len(waiting), -1)
-            edited = sampler([w[2] for w in waiting])
-            columns = [
-                pa.array([w[0] for w in waiting], pa.int64()),
-                pa.array([w[1] for w in waiting], pa.int64()),
-                pa.array([hashlib.sha256(w[2].encode()).hexdigest() for w in waiting], pa.string()),
-                pa.array(written(own), pa.string()),
-                pa.array(written(edited), pa.string()),
-                pa.array(likeness(own, edited), pa.float64()),
-                pa.array(likeness(own, following), pa.float64()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            fresh = sampler([w[2] for w in waiting]).astype("<u4")
+            every = done + [(w[0], w[1], hashlib.sha256(w[2].encode()).hexdigest(), w[3], e.tobytes(), w[4]) for w, e in zip(waiting, fresh, strict=True)]
+            own, new, following = (np.frombuffer(b"".join(r[k] for r in every), "<u4").reshape(len(every), -1) for k in (3, 4, 5))
+            near = zip(likeness(own, new).tolist(), likeness(own, following).tolist(), strict=True)
+            return batch(out_columns, [(r[0], r[1], r[2], r[3].hex(), r[4].hex(), *x) for r, x in zip(every, near, strict=True)])
 
         for b in batches:
-            for k, guest, i, p, z in zip(*(b.column(c).to_pylist() for c in ("range", "guest", "id", "print", "packed"))):
-                text = pack.decompress(z).decode()
-                if before is not None and not before[1] and before[0] == k:
-                    own = before[4]
-                    cut = len(own) // 4
-                    waiting.append((before[2], len(own), own[: len(own) - cut] + text[:cut], before[3], p))
-                    chars += len(own)
-                before = (k, guest, i, p, text)
-                if chars >= STEP:
+            for k, kind, _, i, _, p, z, d in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == 0:
+                    done.append((i, int.from_bytes(d[:8], "little"), d[8:].hex(), p, z, p))
+                else:
+                    text = pack.decompress(z).decode()
+                    if before is not None and before[1] == 1 and before[0] == k:
+                        own = before[4]
+                        waiting.append((before[2], len(own), edited(own, text), before[3], p))
+                        chars += len(own)
+                    before = (k, kind, i, p, text)
+                if chars >= STEP or len(done) >= 4096:
                     yield flush()
-                    waiting, chars = [], 0
-        if waiting:
+                    waiting, done, chars = [], [], 0
+        if waiting or done:
             yield flush()
 
-    packed = rows.mapInArrow(first_pass, "range int, guest boolean, id long, no_id boolean, tie long, print binary, packed binary")
-    ordered = packed.repartition(parts, "range").sortWithinPartitions("range", "guest", "no_id", "id", "tie")
-    out = ordered.mapInArrow(second_pass, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumnRenamed("id", id_col)
+    ddl = lambda columns: ", ".join(f"{c} {t}" for c, t in columns.items())
+    packed = rows.mapInArrow(first_pass, ddl(first_columns))
+    ordered = packed.repartition(parts, "range").sortWithinPartitions("range", "kind", "no_id", "id", "tie")
+    return ordered.mapInArrow(second_pass, ddl(out_columns)).withColumnRenamed("id", id_col)
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(id, fingerprint), one row a document."""
-    from quire.llm.common import map_texts
-
     def run(texts: list[str]) -> list[pa.Array]:
         return [pa.array(written(Sampler(samples)(texts)), pa.string())]
 
