@@ -12,23 +12,24 @@ chain leaves the split; where files have several splits, doubling over these exi
 file's start enters each; a last pass marks what is reached. Other candidates are magic inside payloads: their pieces
 belong to the record before, and where a record was cut by one, its pieces are read again and joined.
 
-Only heads, lengths and digests pass through the shuffles of the reader, never payloads, but for such cut records.
+Only heads, lengths and digests pass through the shuffles of the reader, never payloads, but for such cut records. Lengths and
+digests are those of the bytes read back; a revisit has its response's. A response whose payload was damaged has the length
+and digest of what is there, and ``verified`` is false of it.
 
 Defined cases: a null text is an empty payload; a null id is last among equals, and null in ``refers_to``; rows with the same
-smallest id and payload are all responses; repeated rows give repeated records; an empty table gives an empty archive and
-no rows. Only the named columns are read.
+smallest id and payload are all responses; repeated rows give repeated records; a revisit whose response is not in the archive
+has neither length nor digest; very long payloads are payloads as others; an empty table gives an empty archive and no rows.
+Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, salted_join, shared_dir
+from quire.llm.common import durable, forget, salted_join, scratch_path
 
 #: Fixed values of the format.
 MAGIC = "WARC/1.0\r\n"
@@ -115,8 +116,8 @@ def heads(rows: DataFrame) -> DataFrame:
         _field(F.col("head"), "WARC-Type").alias("record_type"),
         _field(F.col("head"), "WARC-Record-ID").alias("name"),
         _field(F.col("head"), "WARC-Refers-To").alias("refers"),
-        F.regexp_replace(_field(F.col("head"), "WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
-        _field(F.col("http"), "Content-Length").try_cast("long").alias("payload_bytes"),
+        F.regexp_replace(_field(F.col("head"), "WARC-Payload-Digest"), "^sha1:", "").alias("named_digest"),
+        F.octet_length(payload).cast("long").alias("size"),
         F.sha1(payload).alias("sha1"),
     )
 
@@ -163,16 +164,18 @@ def chain(candidates: DataFrame) -> DataFrame:
         jump = durable(candidates.groupBy("file", "block").applyInPandas(_exits, "file string, at long, leaves long").where("leaves > at"))
         reach = candidates.where("at = 0").select("file", "at")
         for k in range((splits - 1).bit_length()):
-            reach = durable(reach.union(reach.join(jump, ["file", "at"]).select("file", F.col("leaves").alias("at"))).distinct())
+            before, reach = reach, durable(reach.union(reach.join(jump, ["file", "at"]).select("file", F.col("leaves").alias("at"))).distinct())
+            forget(before)
             if k + 1 < (splits - 1).bit_length():
                 on = jump.select("file", F.col("at").alias("leaves"), F.col("leaves").alias("then"))
-                jump = durable(jump.join(on, ["file", "leaves"], "left").select("file", "at", F.coalesce("then", "leaves").alias("leaves")))
+                before, jump = jump, durable(jump.join(on, ["file", "leaves"], "left").select("file", "at", F.coalesce("then", "leaves").alias("leaves")))
+                forget(before)
         entered = candidates.join(reach.withColumn("entered", F.lit(True)), ["file", "at"], "left").select("file", "block", "at", "to", F.coalesce("entered", F.lit(False)).alias("entered"))
     return entered.groupBy("file", "block").applyInPandas(_reached, "file string, at long")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(id, payload_bytes, payload_digest, record_type, refers_to, verified), one row a record that the chain reaches.
+    """(id, payload_bytes, payload_digest, record_type, refers_to, verified), one row a record that the chain reaches, written down.
 
     ``verified``: the payload read back has the digest that the head gives; null for revisits.
     """
@@ -183,14 +186,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # A reached record whose piece is shorter than the record was cut at a magic inside its payload.
     cut = records.where(F.col("to") > F.col("at") + len(MAGIC) + F.col("bytes"))
     if cut.limit(1).count():
-        records = records.join(_rejoined(spark, path, slim, reached, cut), ["file", "at"], "left").withColumn("sha1", F.coalesce("whole_sha1", "sha1"))
+        whole = records.join(_rejoined(spark, path, slim, reached, cut), ["file", "at"], "left")
+        records = whole.withColumns({"size": F.coalesce("whole_size", "size"), "sha1": F.coalesce("whole_sha1", "sha1")})
+    records = durable(records.select("name", "record_type", "refers", "named_digest", "size", base32(F.col("sha1")).alias("digest")))
+    forget(slim, reached)
+    right = F.col("digest") == F.col("named_digest")
+    again = records.where("record_type = 'revisit'").select("name", "record_type", "refers", "named_digest")
+    # Responses that are revisited, one row each; a third of all records may be revisits of one.
+    named = again.select(F.col("refers").alias("name"), "named_digest").distinct()
+    responses = records.where("record_type = 'response'")
+    sources = responses.join(named, ["name", "named_digest"]).groupBy(F.col("name").alias("refers"), "named_digest").agg(F.max_by(F.struct("size", "digest"), right).alias("r"))
+    revisits = salted_join(again, sources, ["refers", "named_digest"], "left", [F.col("name")])
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
-    verified = F.when(F.col("record_type") == "response", base32(F.col("sha1")) == F.col("payload_digest"))
-    return records.select(number(F.col("name")).alias("id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", number(F.col("refers"))).alias("refers_to"), verified.alias("verified"))
+    row = lambda df, size, digest, refers, verified: df.select(number(F.col("name")).alias("id"), F.col(size).alias("payload_bytes"), F.col(digest).alias("payload_digest"), "record_type", refers.alias("refers_to"), verified.alias("verified"))
+    out = row(responses, "size", "digest", F.lit(None).cast("long"), right).unionAll(row(revisits, "r.size", "r.digest", number(F.col("refers")), F.lit(None).cast("boolean")))
+    written = durable(out)
+    forget(records)
+    return written
 
 
 def _rejoined(spark: SparkSession, path: str, slim: DataFrame, reached: DataFrame, cut: DataFrame) -> DataFrame:
-    """(file, at, whole_sha1) of records that a magic inside the payload has cut."""
+    """(file, at, whole_size, whole_sha1) of records that a magic inside the payload has cut."""
     # Each piece belongs to the last reached record at or before it; within a split, then from the splits before.
     marked = slim.select("file", "block", "at").join(reached.withColumn("own", F.col("at")), ["file", "at"], "left")
     ends = marked.groupBy("file", "block").agg(F.max("own").alias("top"))
@@ -204,13 +220,14 @@ def _rejoined(spark: SparkSession, path: str, slim: DataFrame, reached: DataFram
     text = F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).cast("binary")
     block = F.substring(text, F.col("head_bytes") + 1, F.col("length").cast("int"))
     payload = F.substring(block, F.octet_length(F.substring_index(block.cast("string"), END, 1)) + len(END) + 1, F.lit(2**31 - 1))
-    return whole.select("file", F.col("record").alias("at"), F.sha1(payload).alias("whole_sha1"))
+    return whole.select("file", F.col("record").alias("at"), F.octet_length(payload).cast("long").alias("whole_size"), F.sha1(payload).alias("whole_sha1"))
 
 
 def query(pages: DataFrame, compression: str = "gzip") -> DataFrame:
-    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(pages.sparkSession, "warc")
     write(pages, path, compression=compression)
     back = read(pages.sparkSession, path)
+    forget(path)
     return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 

@@ -55,3 +55,33 @@ def test_junk_after_a_broken_length_is_not_reached(spark, tmp_path):
 
 def test_empty_table(spark):
     assert W.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_damaged_payloads_are_reported(spark, tmp_path):
+    """What is read back counts, not what the heads say: a changed byte changes the digest, also that of the revisits."""
+    pages = spark.createDataFrame([(1, "u", "abcdef"), (2, "u", "abcdef"), (3, "u", "other text")], "page_id long, url string, html string")
+    W.write(pages.coalesce(1), str(tmp_path / "w"), compression="none")
+    (file,) = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
+    file.write_bytes(file.read_bytes().replace(b"abcdef", b"abXdef"))
+    for crc in (tmp_path / "w").glob(".*.crc"):
+        crc.unlink()
+    rows = {r.id: r for r in W.read(spark, str(tmp_path / "w")).collect()}
+    assert (rows[1].payload_digest, rows[1].payload_bytes, rows[1].verified) == (digest("abXdef"), 6, False)
+    assert (rows[2].payload_digest, rows[2].record_type, rows[2].refers_to) == (digest("abXdef"), "revisit", 1)
+    assert (rows[3].payload_digest, rows[3].verified) == (digest("other text"), True)
+
+
+def test_a_revisit_without_its_response(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "abcdef"), (2, "u", "abcdef")], "page_id long, url string, html string")
+    W.write(pages.coalesce(1), str(tmp_path / "w"), compression="none")
+    (file,) = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
+    records = file.read_bytes().split(b"WARC/1.0\r\n")
+    (tmp_path / "a.warc").write_bytes(b"".join(b"WARC/1.0\r\n" + r for r in records if b"revisit" in r))
+    (row,) = W.read(spark, str(tmp_path / "a.warc")).collect()
+    assert (row.id, row.record_type, row.refers_to, row.payload_bytes, row.payload_digest) == (2, "revisit", 1, None, None)
+
+
+def test_a_very_long_payload(spark):
+    long = "漢字 and words\r\n" * 400_000
+    rows = {r.page_id: r for r in W.query(spark.createDataFrame([(1, "u", long), (2, "u", long + "x"), (3, "u", long)], "page_id long, url string, html string")).collect()}
+    assert [(rows[i].payload_bytes, rows[i].payload_digest, rows[i].refers_to) for i in (1, 2, 3)] == [(len(t.encode()), digest(t), r) for t, r in ((long, None), (long + "x", None), (long, 1))]
