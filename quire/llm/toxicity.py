@@ -12,8 +12,10 @@ at most ``MOST_CHARS`` characters each, those with the least hash of the id; cle
 behind the sample.
 
 Defined cases: a null text is empty; a text without words has the score of a window without words; repeated rows give
-equal scores; without any toxic or any clean training text every score is the smoothed share of toxic labels; labels that
-are null or of null ids are left out; an empty table gives an empty table. Other columns are neither read nor changed.
+equal scores; of texts with one id the one with the least hash is learned from, and of labels of one id the toxic one; ties
+between windows go to the first; without any toxic or any clean training text every score is the smoothed share of toxic
+labels; labels that are null or of null ids are left out; an empty table gives an empty table. Other columns are neither read
+nor changed.
 """
 
 from __future__ import annotations
@@ -340,11 +342,14 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Network:
     """A network from the bounded sample of labelled documents that aren't held out."""
     known = labels.select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("y")).where("l_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("l_id")))
+    known = known.groupBy("l_id").agg(F.max("y").alias("y"))
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).where(F.length("t") <= MOST_CHARS)
-    # At most most_toxic + most_clean ids are sent, and as many texts come back.
-    sample = rows.join(F.broadcast(some[0].union(some[1])), F.col("id") == F.col("l_id")).select("l_id", "t", "y").dropDuplicates(["l_id"]).collect()
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("t")).where(F.length("t") <= MOST_CHARS)
+    # At most most_toxic + most_clean ids are sent, and as many texts come back; a repeated id's are reduced where they are.
+    sample = rows.join(F.broadcast(some[0].union(some[1])), F.col("id") == F.col("l_id"))
+    sample = sample.groupBy("l_id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m"), F.first("y").alias("y")).select("l_id", "m.t", "y").collect()
     sample = sorted((r.l_id, r.t, r.y) for r in sample)
     toxic = sum(y for _, _, y in sample)
     clean = len(sample) - toxic

@@ -92,3 +92,15 @@ def test_no_label_from_held_out_rows(spark):
     labels = spark.createDataFrame([(i, 1, 1) for i in out], "doc_id long, quality int, toxic int")
     assert T.train(docs, labels).constant is not None
     assert sorted(r.doc_id for r in T.query(docs, labels).where("held_out").collect()) == out
+
+
+def test_training_rows_do_not_depend_on_their_order(spark):
+    """Repeated ids, labels of one id that differ, and null texts with labels: the same network whatever the order of rows."""
+    docs = [(i, (f"vile{i % 3} words here " if i % 4 == 0 else "kind words here ") + words(20, i)) for i in range(120)] + [(5, None), (8, "other text"), (9, None), (None, "x")]
+    labels = [(i, int(i % 4 == 0)) for i in range(120)] + [(5, 1), (8, 0)]
+    nets = []
+    for turn in (1, -1):
+        d = spark.createDataFrame(docs[::turn], "doc_id long, text string").repartition(3)
+        y = spark.createDataFrame(labels[::turn], "doc_id long, toxic int").repartition(2)
+        nets.append(T.train(d, y))
+    assert nets[0].words == nets[1].words and all(np.array_equal(nets[0].p[k], nets[1].p[k]) for k in nets[0].p)
