@@ -86,6 +86,11 @@ def forget(*tables: DataFrame | str | None) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch_now() -> set[str]:
+    """The scratch paths that are there: what a step leaves behind is what it adds to them."""
+    return set(_scratch)
+
+
 @atexit.register
 def clean() -> None:
     """Delete all scratch tables of this program: results that were not stored elsewhere go too. Runs at the program's end."""

@@ -5,12 +5,13 @@ expected copies are prefix-summed over the documents, one random offset is added
 integer that its interval crosses. The order of the prefix sum goes up by size, so that the copies of large and small
 documents balance.
 
-No task holds a source: the order is by (size class, id modulo ``SPREAD``, size, id). Counts for each (source, size class,
+No task holds a source: the order is by (size class, id modulo ``SPREAD``, size, id); rows without an id are dealt by the hash of
+their text instead. Counts for each (source, size class,
 remainder) are summed first, of which a source has a bounded number, and only ranks inside such a group need its rows
 together.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; null ids come first in their
-group; rows that tie in everything are interchangeable; an empty table gives an empty table; a source of size 0 has
+size class; rows that tie in everything are interchangeable; an empty table gives an empty table; a source of size 0 has
 target 0 and takes nothing. Other columns pass through :func:`mix` untouched, whatever their names.
 """
 
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         word_count(F.col(f"`{text_col}`")).alias("size"),
         F.xxhash64(f"`{text_col}`").alias("tie"),
     )
-    rows = rows.withColumn("cls", size_class(F.col("size"))).withColumn("rem", F.coalesce(F.pmod("id", F.lit(SPREAD)), F.lit(-1)).cast("int"))
+    rows = rows.withColumn("cls", size_class(F.col("size"))).withColumn("rem", F.coalesce(F.pmod("id", F.lit(SPREAD)), -1 - F.pmod("tie", F.lit(SPREAD))).cast("int"))
     # The counts read the table on their own, once: their scan is pruned to what they need, and targets and starts share them.
     group_keys = ["src", "cls", "rem"]
     groups = durable(rows.groupBy(*group_keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
