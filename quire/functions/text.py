@@ -36,13 +36,14 @@ META_INLINE = (
     r"correspondence|supplementary\s+material|ethics?\s+statement|informed\s+consent|institutional\s+review\s+board\s+statement|"
     r"publisher'?s?\s+note)\s*:"
 )
+#: Without their flags; :func:`starts_rail` and :func:`starts_citation` add them.
 RAIL_LABEL = (
-    r"(?iU)(?:(?:citation|cite\s+this\s+article|doi|received|revised|accepted|published|funding|acknowledg(?:e?ments?)|"
+    r"(?:(?:citation|cite\s+this\s+article|doi|received|revised|accepted|published|funding|acknowledg(?:e?ments?)|"
     r"author\s+contributions?|conflicts?\s+of\s+interest|data\s+availability|abbreviations?|keywords?|academic\s+editor|"
     r"correspondence|supplementary\s+material|ethics?\s+statement|informed\s+consent|publisher'?s?\s+note)\s*:)"
     r"|(?:\b[A-Z][A-Za-z'’\-]{1,20},\s*(?:[A-Z]\.\s*){1,3}(?:;|$))"
 )
-CITATION_FRAGMENT = r"(?U)[A-Z][A-Za-z'’\-]{1,20},\s*(?:[A-Z]\.\s*){1,3}(?:;\s*[A-Z][A-Za-z'’\-]{1,20},\s*(?:[A-Z]\.\s*){1,3})+"
+CITATION_FRAGMENT = r"[A-Z][A-Za-z'’\-]{1,20},\s*(?:[A-Z]\.\s*){1,3}(?:;\s*[A-Z][A-Za-z'’\-]{1,20},\s*(?:[A-Z]\.\s*){1,3})+"
 MATH_CHARS = r"[=+\-−×÷∑∫√±≤≥<>^_{}\[\]|∈∥·]"
 MATH_GLYPH = r"[\x00-\x1f\x7f\u2000-\u206f\ue000-\uf8ff]"
 EQUATION_NUMBER = r"(?U)^\(\s*\d{1,3}\s*\)$"
@@ -99,12 +100,17 @@ def estimate_tokens(c: Column) -> Column:
     return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, F.lit(0)).otherwise(estimate).cast("int")
 
 
+def ascii_lower(c: Column) -> Column:
+    """A-Z in lower case; other letters stay, and none becomes an ASCII one."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def tokens(c: Column) -> Column:
     """Retrieval tokens: lower-case words, numbers, and overlapping pairs of CJK characters (a lone one as itself)."""
-    found = F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(ascii_lower(c), F.lit(TOKEN), F.lit(0))
     pairs = lambda w: F.when(F.length(w) == 1, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2))))
-    mixed = F.flatten(F.transform(found, lambda w: F.when(w.rlike(CJK), pairs(w)).otherwise(F.array(F.lower(w)))))
-    return F.when(c.rlike(CJK), mixed).otherwise(F.transform(found, F.lower))
+    mixed = F.flatten(F.transform(found, lambda w: F.when(w.rlike(CJK), pairs(w)).otherwise(F.array(w))))
+    return F.when(c.rlike(CJK), mixed).otherwise(found)
 
 
 def repair_hyphens(lines: Column) -> Column:
@@ -158,7 +164,12 @@ def starts_reference(c: Column) -> Column:
 
 
 def starts_citation(c: Column) -> Column:
-    return matches(F.substring(strip(c), 1, 90), f"^(?:{CITATION_FRAGMENT[4:]})")
+    return matches(F.substring(strip(c), 1, 90), f"(?U)^(?:{CITATION_FRAGMENT})")
+
+
+def starts_rail(c: Column) -> Column:
+    """Begins with a label of a metadata rail, in any case, or with an author of a citation."""
+    return matches(c, f"(?iU)^(?:{RAIL_LABEL})")
 
 
 def is_meta_label(c: Column) -> Column:

@@ -6,8 +6,10 @@ window or list holds. Lines have x0, y0, x1, y1 in points from the top left.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ GUTTER_LEFT, GUTTER_RIGHT = (4, 0.1), (4, 0.12)
 GUTTER_SPAN = 60.0
 SPANNING = (2, 0.15)
 INDENT = (8, 30)
+RAIL_WIDTH = 0.55
 HEAD_BAND, FOOT_BAND = 0.06, 0.94
 BOLD_NAMES, BOLD_ENDS = ("bold", "black", "semibold", "demi"), (".b", "-b", ",b", ".bd", "-bd")
 ITALIC_NAMES, ITALIC_ENDS = ("italic", "oblique"), (".i", "-i", ",i", ".it", "-it", ".ob")
@@ -122,7 +125,7 @@ def modal_start(rows: DataFrame, keys: Sequence[str], x: str, near: float = MODA
 
 
 def margin(rows: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
-    """(keys, margin): the modal left edge of wide lines: half the 75th of 100 widths, which must be 120 at least."""
+    """(keys, margin): the modal left edge of lines at least half as wide as the 75th of 100 widths; pages where that is below 120 are absent."""
     width = F.col("x1") - F.col("x0")
     wide = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(width)).alias("w")).withColumn("wide", F.element_at("w", (F.size("w") * 0.75).cast("int") + 1)).where("wide >= 120").drop("w")
     some = rows.join(wide, list(keys)).where(width >= F.col("wide") * 0.5)
@@ -192,7 +195,7 @@ def classify_columns(boxes: DataFrame, gutters: DataFrame, keys: Sequence[str] =
 
 def split_rail(rows: DataFrame, boundary: Column, page_width: Column) -> DataFrame:
     """Lines of a page with a metadata rail: narrow ones are column -1, the body is 1."""
-    narrow = (F.col("x1") - F.col("x0")) < F.greatest(F.lit(1.0), page_width - boundary) * 0.55
+    narrow = (F.col("x1") - F.col("x0")) < F.greatest(F.lit(1.0), page_width - boundary) * RAIL_WIDTH
     return rows.withColumn("column", F.when(narrow, -1).otherwise(1))
 
 
@@ -214,7 +217,7 @@ def railed_pages(rows: DataFrame, page_width: Column, keys: Sequence[str] = PAGE
     strong = grouped.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("c"), F.median("x0").alias("edge"), F.first("_n").alias("n"))
     strong = strong.where(F.col("c") >= F.greatest(F.lit(6), F.col("n") * 0.18)).groupBy(*keys).agg(F.min("edge").alias("edge"), F.count(F.lit(1)).alias("k")).where("k >= 2")
     left = sized.join(strong, list(keys)).where((F.abs(F.col("x0") - F.col("edge")) <= F.col("_tol")) & (F.col("edge") <= F.col("_w") * 0.08))
-    band = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.first("_n").alias("n"), F.first("_h").alias("h"), (F.max("y1") - F.min("y0")).alias("span"), F.count_if(T.matches(T.strip(F.col("text")), T.RAIL_LABEL)).alias("labels"))
+    band = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.first("_n").alias("n"), F.first("_h").alias("h"), (F.max("y1") - F.min("y0")).alias("span"), F.count_if(T.matches(T.strip(F.col("text")), f"(?iU)(?:{T.RAIL_LABEL})")).alias("labels"))
     return band.where((F.col("c") >= F.greatest(F.lit(6), F.col("n") * 0.18)) & (F.col("labels") >= 2) & (F.col("h") > 0) & (F.col("span") >= F.col("h") * 0.35)).select(*keys)
 
 
@@ -229,7 +232,13 @@ def side_columns(rows: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """Lines (with column) grouped to paragraphs, classified: (doc_id, page, column, para, text, type, box, size, tail_full)."""
+    """Lines (with column) grouped to paragraphs, classified: (doc_id, page, column, para, text, type, box, size, tail_full, emphasis).
+
+    Lines with ``cut`` count for the gaps between others but aren't part of the text; ``side`` is a page's side column, if any.
+    """
+    rows = rows if "cut" in rows.columns else rows.withColumn("cut", F.lit(False))
+    rows = rows if "side" in rows.columns else rows.withColumn("side", F.lit(None).cast("int"))
+    rows = rows if "runs" in rows.columns else rows.withColumn("runs", F.array().cast("array<struct<text:string,bold:boolean,italic:boolean>>"))
     keys = [*PAGE, "column"]
     order = Window.partitionBy(*keys).orderBy(F.round("y0", 1), "x0", "line")
     height = F.when(F.col("y1") > F.col("y0"), F.col("y1") - F.col("y0"))
@@ -253,16 +262,63 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     label = (T.is_meta_label(T.strip(F.col("text"))) & (F.length(T.strip(F.col("text"))) <= 120) & (F.row_number().over(inside) > 1)).cast("int")
     part = F.when(leading, 0).otherwise(1 + F.max(label).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     numbered = numbered.withColumn("part", part)
-    line = F.struct(F.round("y0", 1).alias("y"), F.col("x0"), F.col("line"), F.col("text"), F.col("x1"), F.col("colour") if "colour" in rows.columns else F.lit(None).cast("struct<r:double,g:double,b:double>").alias("colour"))
-    grouped = numbered.groupBy(*keys, "para", "part").agg(
+    line = F.struct(F.round("y0", 1).alias("y"), F.col("x0"), F.col("line"), T.strip(F.col("text")).alias("text"), F.col("x1"), "runs", F.col("colour") if "colour" in rows.columns else F.lit(None).cast("struct<r:double,g:double,b:double>").alias("colour"))
+    grouped = numbered.where(~F.col("cut")).groupBy(*keys, "para", "part").agg(
         F.array_sort(F.collect_list(line)).alias("lines"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.max("size").alias("size"), F.first("right").alias("right"), F.first("median_size").alias("median_size"), F.first("page_height").alias("page_height"),
+        F.max("size").alias("size"), F.first("right").alias("right"), F.first("median_size").alias("median_size"), F.first("page_height").alias("page_height"), F.first("side").alias("side"),
     )
     last = F.element_at("lines", -1)["x1"]
     grouped = grouped.withColumn("tail_full", last >= F.col("right") - F.greatest(F.lit(3.0), 0.015 * F.greatest(F.lit(1.0), last - F.col("x0"))))
     grouped = grouped.withColumn("text", T.repair_hyphens(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))).where("text != ''")
-    return grouped.withColumn("type", paragraph_type()).withColumn("faint", F.coalesce(_faint(F.element_at("lines", 1)["colour"]), F.lit(False))).drop("right", "lines")
+    grouped = grouped.withColumn("type", paragraph_type()).withColumn("faint", F.coalesce(_faint(F.element_at("lines", 1)["colour"]), F.lit(False)))
+    return grouped.withColumn("emphasis", emphasis(F.transform("lines", lambda x: x["runs"]))).drop("right", "lines", "side")
+
+
+EMPHASIS = "array<struct<start:int,end:int,style:string>>"
+
+
+def emphasis(lines: Column) -> Column:
+    """Where a paragraph's text is bold or italic, from its lines' runs: (start, end, style), by the rules that join lines to text.
+
+    Only paragraphs with a styled run go to Python.
+    """
+
+    @F.pandas_udf(EMPHASIS)
+    def marked(paragraphs: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else _marks(json.loads(p)) for p in paragraphs])
+
+    styled = F.exists(lines, lambda runs: F.exists(runs, lambda r: r["bold"] | r["italic"]))
+    # As JSON: lists of lists of different lengths don't go through Arrow to pandas.
+    return F.coalesce(marked(F.when(styled, F.to_json(lines))), F.array().cast(EMPHASIS))
+
+
+def _marks(lines: Iterable[Iterable[dict]]) -> list[dict]:
+    """Characters and their styles, joined like the text; then runs of one style."""
+    chars: list[tuple[str, str]] = []
+    for runs in lines:
+        own = [(c, " ".join(n for n in ("bold", "italic") if r[n])) for r in runs for c in r["text"]]
+        while own and own[0][0].isspace():
+            own.pop(0)
+        while own and own[-1][0].isspace():
+            own.pop()
+        if own and len(chars) > 1 and chars[-1][0] in "-\u2010\u2011" and (chars[-2][0].isalnum() or chars[-2][0] == "_"):
+            chars.pop()
+        elif own and chars:
+            chars.append((" ", ""))
+        chars += own
+    kept: list[tuple[str, str]] = []
+    for c, style in chars:
+        gap = c in " \t"
+        if not (gap and kept and kept[-1][0] == " "):
+            kept.append((" " if gap else c, style))
+    out: list[dict] = []
+    for i, (_, style) in enumerate(kept):
+        if out and out[-1]["style"] == style and out[-1]["end"] == i:
+            out[-1]["end"] = i + 1
+        elif style:
+            out.append({"start": i, "end": i + 1, "style": style})
+    return out
 
 
 def _faint(colour: Column) -> Column:
@@ -272,9 +328,10 @@ def _faint(colour: Column) -> Column:
 def paragraph_type() -> Column:
     """The first rule that holds, on text, lines, size, column and the page's median size."""
     text, first = F.col("text"), T.strip(F.element_at("lines", 1)["text"])
-    meta = (F.length(text) <= 400) & (F.col("size") <= F.col("median_size") * 1.1) & (T.is_meta_label(first) | T.matches(first, "^(?:" + T.RAIL_LABEL[5:] + ")"))
+    meta = (F.length(text) <= 400) & (F.col("size") <= F.col("median_size") * 1.1) & (T.is_meta_label(first) | T.starts_rail(first))
     narrow = F.aggregate("lines", F.lit(0), lambda n, x: F.greatest(n, F.length(T.strip(x["text"])))) <= 120
-    rail = (F.col("column") < 0) & (F.col("size") <= F.col("median_size") * 1.15) & (F.length(text) <= 300) & narrow
+    narrow_column = (F.col("column") < 0) | F.coalesce(F.col("column") == F.col("side"), F.lit(False))
+    rail = narrow_column & (F.col("size") <= F.col("median_size") * 1.15) & (F.length(text) <= 300) & narrow
     large = (F.length(text) < 120) & ~text.rlike(r"[.!?](?:\s|$)") & ~text.rlike("[.。,;:]$") & (F.col("size") >= F.col("median_size") * 1.18)
     year = text.rlike(r"(?U)\b(19|20)\d{2}\b")
     return (
@@ -296,27 +353,35 @@ def heading_level(text: Column, size: Column, median: Column) -> Column:
     return F.when(ratio >= 1.6, 1).when(ratio >= 1.25, 2).when(numbered, F.least(F.lit(3), F.greatest(F.lit(2), depth))).when(F.length(text) < 60, 3)
 
 
+GRID = "array<array<string>>"
+
+
 def blocks(paras: DataFrame, page_height: Column) -> DataFrame:
-    """Paragraphs as blocks in reading order: full-width ones first, then by column; ids count through the document."""
-    p = paras.withColumn("_height", page_height)
+    """Paragraphs, and tables, figures and equations among them, as blocks in reading order; ids count through the document.
+
+    Full-width ones come first, then each column from top to bottom; what has no column counts to the first.
+    """
+    optional = {"emphasis": EMPHASIS, "image_path": "string", "caption": "string", "table_rows": GRID, "mark": "string"}
+    p = paras.withColumns({c: F.lit(None).cast(kind) for c, kind in optional.items() if c not in paras.columns}).withColumn("_height", page_height)
     s = T.strip(F.col("text"))
     top, bottom = F.col("y1") < F.col("_height") * HEAD_BAND, F.col("y0") > F.col("_height") * FOOT_BAND
     moved = F.when(T.is_page_number(s), F.when(F.col("y0") < F.col("_height") * 0.5, "header").otherwise("footer"))
-    moved = moved.when(F.col("type").isin("text", "formula", "caption", "heading") & (F.length(s) <= 80), F.when(top, "header").when(bottom, "footer"))
+    moved = moved.when(F.col("type").isin("text", "formula", "caption", "heading") & F.col("image_path").isNull() & (F.length(s) <= 80), F.when(top, "header").when(bottom, "footer"))
     p = p.withColumn("type", F.coalesce(moved, F.when(F.col("faint"), "header"), F.col("type")))
-    order = Window.partitionBy("doc_id").orderBy("page", F.when(F.col("column") < 0, 0).otherwise(1), F.greatest("column", F.lit(0)), "y0", "x0", "para", "part")
+    order = Window.partitionBy("doc_id").orderBy("page", F.when(F.col("column") < 0, 0).otherwise(1), F.greatest("column", F.lit(0)), "y0", "x0", "type", "para", "part")
     p = p.withColumn("ord", F.row_number().over(order) - 1)
-    level = F.when(F.col("type") == "heading", heading_level(F.col("text"), F.col("size"), F.col("median_size")))
-    flags = F.array_compact(F.array(F.when(F.col("tail_full"), "tail-full"), F.when(F.col("faint"), "faint-text")))
+    level = F.when((F.col("type") == "heading") & ~F.col("faint"), heading_level(F.col("text"), F.col("size"), F.col("median_size")))
+    flags = F.array_compact(F.array(F.col("mark"), F.when(F.col("faint"), "faint-text"), F.when(F.col("tail_full"), "tail-full")))
     box = F.struct("x0", "y0", "x1", "y1").alias("bbox")
-    return p.select(F.format_string("%s-b%05d", "doc_id", "ord").alias("id"), "doc_id", "ord", "page", "type", "text", box, F.greatest("column", F.lit(0)).alias("column"), level.alias("level"), "size", flags.alias("flags"))
+    more = [F.coalesce("emphasis", F.array().cast(EMPHASIS)).alias("emphasis"), "image_path", "caption", "table_rows"]
+    return p.select(F.format_string("%s-b%05d", "doc_id", "ord").alias("id"), "doc_id", "ord", "page", "type", "text", box, F.greatest("column", F.lit(0)).alias("column"), level.alias("level"), "size", flags.alias("flags"), *more)
 
 
 def parse(spans: DataFrame) -> DataFrame:
-    """Spans to blocks: the whole page pipeline. Lines are looked at from several sides, so they are kept once made."""
-    rows = lines(spans).persist()
-    placed = classify_columns(rows, detect_gutter(rows, PAGE, F.col("page_width")))
-    return blocks(paragraphs(placed), F.col("page_height"))
+    """Spans to blocks: the whole page pipeline, without images and a finder of tables."""
+    from quire.operators import pages
+
+    return pages.parse(spans).blocks
 
 
 def renumber(rows: DataFrame, doc: str = "doc_id", order: Sequence[str] = ("ord",)) -> DataFrame:

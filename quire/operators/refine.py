@@ -65,6 +65,9 @@ def join_cut_paragraphs(blocks: DataFrame) -> DataFrame:
     What a join does changes what the next one sees, so each document is folded in order; the predicates on texts come
     precomputed from native expressions, and pages stream through one document at a time.
     """
+    # Grids go through the fold as JSON: lists of lists of different lengths don't go through Arrow to pandas.
+    grids = {c: kind for c, kind in blocks.dtypes if kind.startswith("array<array")}
+    blocks = blocks.withColumns({c: F.to_json(c) for c in grids})
     schema = blocks.schema
     columns = blocks.columns
 
@@ -96,7 +99,8 @@ def join_cut_paragraphs(blocks: DataFrame) -> DataFrame:
             r["ord"] = n
         return pd.DataFrame(kept, columns=list(rows[0]))[columns]
 
-    return _predicates(blocks).groupBy("doc_id").applyInPandas(fold, schema)
+    joined = _predicates(blocks).groupBy("doc_id").applyInPandas(fold, schema)
+    return joined.withColumns({c: F.from_json(c, kind) for c, kind in grids.items()})
 
 
 def _margins(rows: list[dict]) -> dict[int, float]:
@@ -132,7 +136,12 @@ def _continues(rows: list[dict], gone: set[int], margins: dict[int, float], i: i
 
 
 def _merge(tail: dict, head: dict) -> None:
-    tail["text"] = f"{tail['text'].rstrip()} {head['text'].lstrip()}".strip()
+    before = tail["text"].rstrip() + " "
+    if "emphasis" in tail:
+        shift = len(before) - (len(head["text"]) - len(head["text"].lstrip()))
+        moved = [{**m, "start": m["start"] + shift, "end": m["end"] + shift} for m in head["emphasis"]]
+        tail["emphasis"] = [*tail["emphasis"], *moved]
+    tail["text"] = f"{before}{head['text'].lstrip()}".strip()
     tail["flags"] = [f for f in tail["flags"] if f != "tail-full"] + (["tail-full"] if "tail-full" in head["flags"] else [])
     box = dict(tail["bbox"])
     tail["bbox"] = box | {"x0": min(box["x0"], head["bbox"]["x0"]), "x1": max(box["x1"], head["bbox"]["x1"])}
@@ -269,8 +278,11 @@ def page_edges(blocks: DataFrame) -> DataFrame:
     return pairs.where(T.ends_mid_sentence(F.col("tail")) & T.matches(T.lstrip(F.col("next_head")), r"^[a-z(\[]")).select("doc_id", "page", "tail", F.col("next_head").alias("head"))
 
 
-def parse_documents(spans: DataFrame) -> DataFrame:
-    """Spans to refined blocks."""
-    from quire.operators import layout
+def parse_documents(spans: DataFrame, **beside: DataFrame | str) -> DataFrame:
+    """Spans, and what :func:`quire.operators.pages.parse` takes beside them, to refined blocks.
 
-    return refine(layout.parse(spans))
+    Metadata between body blocks moves before them in documents with a page whose rail was split off, and where it is mixed in.
+    """
+    from quire.operators import pages
+
+    return refine(pages.parse(spans, **beside).blocks)

@@ -23,6 +23,11 @@ LEAST_ROWS = 3
 ALIGNED_GRID, ALIGNED_SHARE = 12.0, 0.6
 TAIL_PITCH = 2.4
 KEPT_TEXT = 0.8
+ANCHOR_WINDOW = (22.0, 6.0)
+BAND_STEP, BAND_LINES, BAND_FORMULAS, BAND_SHARE = 16.0, 14, 3, 0.5
+EQUATION_LEAST, EQUATION_WIDTH, EQUATION_APART = 5.0, 1.2, 3.0
+TRIM_GAP, TRIM_LEAST = 6.0, (30.0, 4.0)
+CROP_PAD = (-8.0, -6.0, 10.0, 6.0)
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -37,11 +42,11 @@ def share_inside(a: Sequence[Column], b: Sequence[Column]) -> Column:
 
 def members(lines: DataFrame, regions: DataFrame, share: float = INSIDE_TABLE, pad: Sequence[float] = (0, 0, 0, 0), keys: Sequence[str] = PAGE) -> DataFrame:
     """lines with ``region``: the first region of the page that holds enough of the line, else null."""
-    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    rect = [F.col(f"_r.{c}") + p for c, p in zip(("x0", "y0", "x1", "y1"), pad, strict=True)]
-    per_page = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("region", "x0", "y0", "x1", "y1"))).alias("_all"))
-    hit = lambda r: share_inside(box, [r[c] + p for c, p in zip(("x0", "y0", "x1", "y1"), pad, strict=True)]) >= share
-    assert len(rect) == 4
+    sides = ("x0", "y0", "x1", "y1")
+    # Of equal boxes only the first counts; a page has few others.
+    distinct = regions.groupBy(*keys, *sides).agg(F.min("region").alias("region"))
+    per_page = distinct.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("region", *sides))).alias("_all"))
+    hit = lambda r: share_inside([F.col(c) for c in sides], [r[c] + p for c, p in zip(sides, pad, strict=True)]) >= share
     return lines.join(per_page, list(keys), "left").withColumn("region", F.try_element_at(F.filter("_all", hit), F.lit(1))["region"]).drop("_all")
 
 
@@ -183,26 +188,149 @@ def kept_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     return tables.join(inside, [*PAGE, "region"], "left").where(F.coalesce(cells >= F.col("_taken") * KEPT_TEXT, F.lit(True))).drop("_taken")
 
 
-def equations(lines: DataFrame) -> DataFrame:
-    """Display equations as regions to crop: (doc_id, page, region, x0, y0, x1, y1, number).
+EQUATIONS = "doc_id string, page int, region int, x0 double, y0 double, x1 double, y1 double, number string, crop struct<x0:double,y0:double,x1:double,y1:double>"
+
+
+def equation_regions(lines: DataFrame) -> DataFrame:
+    """Display equations: (doc_id, page, region, box, number, crop), of lines that no table has taken.
 
-    A run of formula lines (a step of at most 26 points) with an equation number, or of three lines and more, is a region;
-    what reads like prose never is part of one.
+    A number like (3) stands beside its equation: the formula lines around it, and what is left of it, are a region. Where there
+    are no numbers, dense runs of formula lines are. A region takes in whole lines; one that overlaps an earlier region is none.
+    ``crop`` leaves lines of prose out, where the formula lines are a run of their own.
+
+    What a line is has been decided natively; which regions stand depends on those before, so a page is folded in order.
     """
-    order = Window.partitionBy(*PAGE).orderBy(F.round("y0", 1), "x0")
-    rows = lines.withColumn("_f", T.is_formula_line(F.col("text")) & ~T.is_prose(F.col("text")))
-    apart = ~F.coalesce((F.col("y0") - F.lag("y0").over(order) <= ROW_STEP[1]) & F.lag("_f").over(order) & F.col("_f"), F.lit(False))
-    rows = rows.withColumn("_run", F.sum(apart.cast("int")).over(order)).where("_f")
-    number = F.max(F.regexp_extract("text", r"\(\s*(\d{1,3})\s*\)\s*$", 1))
-    runs = rows.groupBy(*PAGE, "_run").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n"), number.alias("number"))
-    found = runs.where((F.col("number") != "") | (F.col("n") >= 3))
-    region = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "x0")) - 1
-    out = found.withColumn("region", region).withColumn("image_path", F.format_string("p%04d_eq%03d.png", F.col("page"), F.col("region") + 1))
-    return out.select(*PAGE, "region", "x0", "y0", "x1", "y1", "number", "image_path")
-
-
-def crop_manifest(figs: DataFrame, eqs: DataFrame, dpi: int = 200) -> DataFrame:
+    text = T.strip(F.col("text"))
+    width = F.col("page_width") if "page_width" in lines.columns else F.lit(float("inf"))
+    rows = lines.select(*PAGE, "x0", "y0", "x1", "y1", width.alias("width"), T.is_formula_line(text).alias("formula"), T.is_prose(text).alias("prose"), F.regexp_extract(text, r"^\(\s*(\d{1,3})\s*\)$", 1).alias("number"))
+    # Pages without a formula line aren't folded.
+    some = F.max(F.col("formula")).over(Window.partitionBy(*PAGE))
+    rows = rows.withColumn("some", some).where("some").drop("some")
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["y0", "x0"], ignore_index=True)
+        out = []
+        for rank, (inside, number) in enumerate(_equations_of(page)):
+            box = [float(f(page.loc[inside, c])) for c, f in (("x0", min), ("y0", min), ("x1", max), ("y1", max))]
+            crop = _without_prose(page, box)
+            padded = [max(0.0, crop[0] + CROP_PAD[0]), max(0.0, crop[1] + CROP_PAD[1]), crop[2] + CROP_PAD[2], crop[3] + CROP_PAD[3]]
+            out.append((page["doc_id"].iloc[0], page["page"].iloc[0], rank, *box, number, dict(zip(("x0", "y0", "x1", "y1"), padded, strict=True))))
+        return pd.DataFrame(out, columns=["doc_id", "page", "region", "x0", "y0", "x1", "y1", "number", "crop"])
+
+    return rows.groupBy(*PAGE).applyInPandas(fold, EQUATIONS)
+
+
+def _equations_of(page: pd.DataFrame) -> list[tuple[pd.Series, str]]:
+    """(lines inside, number) of each region, numbered ones first, in order."""
+    found: list[tuple[pd.Series, str]] = []
+    taken: list[tuple[float, float]] = []
+
+    def offer(members: pd.Series, number: str) -> None:
+        top, bottom = page.loc[members, "y0"].min(), page.loc[members, "y1"].max()
+        inside = (page["y0"] <= bottom + 2) & (page["y1"] >= top - 2)
+        own = page[inside]
+        width, height = own["x1"].max() - own["x0"].min(), own["y1"].max() - own["y0"].min()
+        fits = min(width, height) >= EQUATION_LEAST and width <= page["width"].iloc[0] * EQUATION_WIDTH
+        if fits and all(own["y1"].max() < a - EQUATION_APART or own["y0"].min() > b + EQUATION_APART for a, b in taken):
+            taken.append((own["y0"].min(), own["y1"].max()))
+            found.append((inside, number))
+
+    for i in page.index[page["number"] != ""]:
+        anchor = page.loc[i]
+        near = page["y0"].between(anchor["y0"] - ANCHOR_WINDOW[0], anchor["y1"] + ANCHOR_WINDOW[1]) & (page.index != i)
+        likely = near & (page["formula"] | (page["x0"] < anchor["x0"]))
+        members = likely if likely.any() else near
+        if members.any():
+            offer(members | (page.index == i), anchor["number"])
+    for band in _bands(page["y0"].tolist(), page["formula"].tolist()):
+        formulas = int(page.loc[band, "formula"].sum())
+        if formulas >= BAND_FORMULAS and formulas >= len(band) * BAND_SHARE:
+            offer(page.index.isin(band), "")
+    return found
+
+
+def _bands(tops: list[float], formula: list[bool]) -> list[list[int]]:
+    """Runs of lines, from a formula line on, in steps of ``BAND_STEP`` at most; prose ends one that has formulas enough."""
+    bands: list[list[int]] = []
+    open_ = False
+    for i, (y, f) in enumerate(zip(tops, formula, strict=True)):
+        band = bands[-1] if open_ else []
+        if open_ and (y - tops[band[-1]] > BAND_STEP or len(band) >= BAND_LINES or (not f and sum(formula[j] for j in band) >= BAND_FORMULAS)):
+            open_ = False
+        if open_:
+            band.append(i)
+        elif f:
+            bands.append([i])
+            open_ = True
+    joined: list[list[int]] = []
+    for band in bands:  # what a short line had cut is one again
+        if joined and 0 <= tops[band[0]] - tops[joined[-1][-1]] <= BAND_STEP:
+            joined[-1] += band
+        else:
+            joined.append(band)
+    return joined
+
+
+def _without_prose(page: pd.DataFrame, box: list[float]) -> list[float]:
+    """The box cut down to its longest run of lines that aren't prose; the box itself where that doesn't part them."""
+    x0, y0, x1, y1 = box
+    own = page[(page["y0"] >= y0 - 3) & (page["y1"] <= y1 + 3) & (page["x0"] >= x0 - 3) & (page["x1"] <= x1 + 3)]
+    prose, maths = own[own["prose"]], own[~own["prose"]]
+    if prose.empty or maths.empty:
+        return box
+    run = (maths["y0"] - maths["y1"].shift() > TRIM_GAP).cumsum()
+    best = maths[run == run.value_counts(sort=False).idxmax()]
+    top, bottom = float(best["y0"].min()), float(best["y1"].max())
+    mixed = ((prose["y0"] >= top - 3) & (prose["y1"] <= bottom + 3)).any()
+    return box if x1 - x0 < TRIM_LEAST[0] or bottom - top < TRIM_LEAST[1] or mixed else [x0, top, x1, bottom]
+
+
+def in_equations(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """lines with ``region``: the equation that takes the line; headings and prose inside one stay text."""
+    text = T.strip(F.col("text"))
+    marked = members(lines, found, INSIDE_EQUATION, EQUATION_PAD)
+    return marked.withColumn("region", F.when(~T.is_section_heading(text) & ~T.is_prose(text), F.col("region")))
+
+
+def used_equations(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """Equations that take at least one line, as crops: (doc_id, page, region, x0, y0, x1, y1, number, crop, image_path)."""
+    used = marked.where("region IS NOT NULL").select(*PAGE, "region").distinct()
+    out = found.join(used, [*PAGE, "region"]).drop("region", "x0", "y0", "x1", "y1")
+    unpadded = [(F.col(f"crop.{c}") - p).alias(c) for c, p in zip(("x0", "y0", "x1", "y1"), CROP_PAD, strict=True)]
+    region = (F.row_number().over(Window.partitionBy(*PAGE).orderBy("crop.y0", "crop.x0")) - 1).alias("region")
+    out = out.select(*PAGE, region, *unpadded, "number", "crop")
+    return out.withColumn("image_path", F.format_string("p%04d_eq%03d.png", F.col("page") + 1, F.col("region") + 1))
+
+
+def equations(lines: DataFrame) -> DataFrame:
+    found = equation_regions(lines)
+    return used_equations(in_equations(lines, found), found)
+
+
+def detected_tables(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Tables of a page, numbered: those a finder gave (doc_id, page, x0, y0, x1, y1, rows) that look like tables, then ruled ones."""
+    box = ("x0", "y0", "x1", "y1")
+    ruled = rule_tables(lines).select(*PAGE, F.lit(1).alias("_source"), F.col("region").alias("_n"), *box, "rows")
+    if tables is not None:
+        given = tables.withColumn("region", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "x0", "y1", "x1")) - 1)
+        inside = lines.select(*PAGE, *[F.col(c).alias(f"l_{c}") for c in box]).join(given.select(*PAGE, "region", *box), list(PAGE))
+        inside = inside.where(share_inside([F.col(f"l_{c}") for c in box], [F.col(c) for c in box]) >= 0.5)
+        widths = inside.groupBy(*PAGE, "region").agg(F.collect_list(F.col("l_x1") - F.col("l_x0")).alias("_widths"))
+        given = given.join(widths, [*PAGE, "region"], "left").withColumn("_widths", F.coalesce("_widths", F.array().cast("array<double>")))
+        given = given.where(looks_like_table([F.col(c) for c in box], F.col("rows"), F.col("_widths")))
+        # A ruled table where one was given is the same table.
+        taken = given.groupBy(*PAGE).agg(F.collect_list(F.struct(*box)).alias("_given"))
+        twice = F.exists("_given", lambda g: share_inside([F.col(c) for c in box], [g[c] for c in box]) >= 0.5)
+        ruled = ruled.join(taken, list(PAGE), "left").where(~F.coalesce(twice, F.lit(False))).drop("_given")
+        ruled = given.select(*PAGE, F.lit(0).alias("_source"), F.col("region").alias("_n"), *box, "rows").unionByName(ruled)
+    region = F.row_number().over(Window.partitionBy(*PAGE).orderBy("_source", "_n")) - 1
+    return ruled.withColumn("region", region).drop("_source", "_n")
+
+
+def crop_manifest(figs: DataFrame | None, eqs: DataFrame, dpi: int = 200) -> DataFrame:
     """What a renderer has to crop: page, box and file name; nothing is drawn here."""
-    some = lambda df, kind: df.select(*PAGE, "x0", "y0", "x1", "y1", "image_path", F.lit(kind).alias("kind"), F.lit(dpi).alias("dpi"))
+    some = lambda df, kind: df.select(*PAGE, *[F.col(c) for c in ("x0", "y0", "x1", "y1")], "image_path", F.lit(kind).alias("kind"), F.lit(dpi).alias("dpi"))
+    crops = eqs.withColumns({c: F.col(f"crop.{c}") for c in ("x0", "y0", "x1", "y1")}) if "crop" in eqs.columns else eqs
     large = (F.col("x1") - F.col("x0") >= FIGURE_LEAST) & (F.col("y1") - F.col("y0") >= FIGURE_LEAST)
-    return some(figs, "figure").unionByName(some(eqs, "equation")).where(large)
+    every = some(crops, "equation") if figs is None else some(figs, "figure").unionByName(some(crops, "equation"))
+    return every.where(large)

@@ -43,9 +43,11 @@ def bm25(units: DataFrame, question: str, text_col: str = "text", scope: Sequenc
     terms = Counter(question_terms(question))
     scope = list(scope)
     rows = units if kept is None else units.where(kept)
-    rows = rows.withColumn("_t", T.tokens(F.col(text_col)))
-    frequency = [_occurrences("_t", w).alias(f"_f{i}") for i, w in enumerate(terms)]
-    rows = rows.select(*units.columns, F.size("_t").alias("_len"), *frequency)
+    tokens = T.tokens(F.col(text_col))
+    # Tokens hold no spaces, so between two of them each can be counted as a string.
+    rows = rows.withColumn("_t", tokens).withColumns({"_len": F.size("_t"), "_t": F.concat(F.lit(" "), F.array_join("_t", "  "), F.lit(" "))})
+    frequency = [_occurrences(F.col("_t"), w).alias(f"_f{i}") for i, w in enumerate(terms)]
+    rows = rows.select(*units.columns, "_len", *frequency)
     if not terms:
         return rows.select(*units.columns, F.lit(0.0).alias("score"))
     keys = [F.col(c) for c in scope] or [F.lit(0).alias("_all")]
@@ -62,8 +64,9 @@ def bm25(units: DataFrame, question: str, text_col: str = "text", scope: Sequenc
     return joined.withColumn("score", score).where("score > 0").select(*units.columns, "score")
 
 
-def _occurrences(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term))
+def _occurrences(joined: Column, term: str) -> Column:
+    marked = f" {term} "
+    return ((F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(marked), F.lit("")))) / len(marked.encode())).cast("int")
 
 
 def top_k(scored: DataFrame, k: int, order: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
