@@ -88,3 +88,14 @@ def quality_rollup(blocks: DataFrame) -> DataFrame:
     first = F.try_element_at(F.map_values("translation_meta"), F.lit(1))["quality"]
     of = lambda q: F.count_if(first == q).alias(q)
     return blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.size("translations") > 0).alias("translated"), of("ok"), of("suspect"), of("failed"))
+
+
+def usage_response(totals: DataFrame, price_in: float = 1.0, price_out: float = 2.0) -> DataFrame:
+    """Totals with the cost of what the cloud took and gave, and the local seconds to a tenth."""
+    price = cost(F.col("cloud_tokens_in"), F.col("cloud_tokens_out"), price_in, price_out)
+    return totals.withColumn("cost", price).withColumn("local_seconds", F.round(F.col("local_seconds").cast("double"), 1))
+
+
+def newest(rows: DataFrame, by: str, n: int = 50, tie: str = "id") -> DataFrame:
+    """The n newest rows: a top-n, no total sort."""
+    return rows.orderBy(F.col(by).desc(), F.col(tie).desc()).limit(n)

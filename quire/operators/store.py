@@ -94,6 +94,28 @@ def setting(value: Column, kind: str) -> Column:
     return F.regexp_replace(trimmed, "/+$", "") if kind == "url" else value
 
 
+def visible_settings(settings: DataFrame, allowed: Sequence[str], secrets: Sequence[str] = ()) -> DataFrame:
+    """(key, value) of settings that may be stored: allowed ones that aren't blank; of secrets only whether they are set."""
+    rows = settings.where(F.col("key").isin(*allowed, *secrets) & ~T.blank(F.col("value")))
+    return rows.select("key", F.when(F.col("key").isin(*secrets), F.lit("true")).otherwise(F.col("value")).alias("value"))
+
+
+def apply_overrides(settings: DataFrame, overrides: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(key, value, changed): settings after overrides of the known keys; what doesn't cast to its kind is left out."""
+    cast = F.lit(None).cast("string")
+    for key, kind in kinds.items():
+        cast = F.when(F.col("key") == key, setting(F.col("value"), kind).cast("string")).otherwise(cast)
+    fit = overrides.withColumn("new", cast).where(F.col("new").isNotNull()).select("key", "new")
+    both = settings.select("key", "value").join(fit, "key", "full")
+    changed = F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("value"))
+    return both.select("key", F.coalesce("new", "value").alias("value"), changed.alias("changed"))
+
+
+def append(rows: DataFrame, path: str, by: str = "doc_id") -> None:
+    """Rows of an append-only log, as the usage log is: nothing that is stored is touched."""
+    rows.write.mode("append").partitionBy(by).parquet(path)
+
+
 def write(table: DataFrame, path: str, by: str = "doc_id") -> None:
     """Rows of the documents at hand replace those stored of the same documents; others stay."""
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

