@@ -1,8 +1,9 @@
 """Translation, summary and question answering over chunks, with a provider that is handed in.
 
-A provider is any object with ``name``, ``model`` and ``reply(prompt) -> str``; the ones here are deterministic and
-offline. Calls run on the executors, one partition at a time; ``parallel`` is the number of partitions, so of calls at once.
-Replies are written to the shared folder before they are used: a second look at a plan never calls a model again.
+A provider is any object with ``name``, ``model`` and ``reply(prompt) -> str``, and ``wait`` if the first wait between attempts
+isn't to be a second; the ones here are deterministic and offline. Calls run on the executors, one partition at a time; ``parallel`` is the number of partitions, so of calls at once.
+Replies are written to the shared folder before they are used: a second look at a plan never calls a model again, and a lost
+executor costs no more than the calls of the part that it was at.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 
 from quire.functions import protect
 from quire.functions import text as T
-from quire.operators import chunking, store
+from quire.operators import chunking, export, prompts, retrieval, store, terms
+from quire.sources.scratch import step
 
-#: Names of target languages, retries and signs of a bad table.
-LANGUAGES = {"zh": "Simplified Chinese", "en": "English", "ja": "Japanese", "ko": "Korean", "de": "German", "fr": "French", "es": "Spanish", "ru": "Russian", "pt": "Portuguese"}
+#: Retries, chunks that fail one after the other before a document is given up, and signs of a bad table.
 RETRIES = 2
+GIVE_UP = 2
 UNTOUCHED_SHARE = 0.3
+SAMPLE_CHARS = 6000
 
 
 class Provider(Protocol):
@@ -71,75 +74,145 @@ def with_retries(call: Callable[[], str], retries: int = RETRIES, wait: float =
 
 def prompt_of(items: list[dict], lang: str, glossary: str = "", context: str = "", hints: list[str] | None = None) -> str:
     """A translation prompt, whose last line is the payload as JSON."""
-    lines = [f"Translate each text into {LANGUAGES.get(lang, lang)}. Keep every placeholder tag as it is and answer with JSON of the same shape."]
-    lines += [f"Terms:\n{glossary}"] if glossary else []
-    lines += [f"Context, not to be translated:\n{context}"] if context else []
-    lines += ["Mind these problems of a first attempt: " + "; ".join(hints[:4])] if hints else []
-    return "\n".join([*lines, json.dumps({"items": items}, ensure_ascii=False)])
+    return prompts.translation(items, lang, glossary, context, hints)
 
 
 REPLIES = "doc_id {id}, chunk_id int, reply string, error string"
 
 
-def call_chunks(chunks: DataFrame, provider: Provider, lang: str, parallel: int = 8) -> DataFrame:
-    """chunks (doc_id, chunk_id, items array<struct<id, text>>, hints) to (doc_id, chunk_id, reply, error)."""
+def call_chunks(chunks: DataFrame, provider: Provider, lang: str, parallel: int = 8, give_up: int | None = GIVE_UP) -> DataFrame:
+    """chunks (doc_id, chunk_id, prompt) to (doc_id, chunk_id, reply, error), one call each, in order within a document.
+
+    After ``give_up`` chunks of a document have failed one after the other the rest of it isn't asked for (error ``given up``).
+    Without it the chunks of one document are asked for side by side.
+    """
     kind = dict(chunks.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, failed = None, 0
         for b in batches:
             rows = []
             for r in b.itertuples():
-                items = [{"id": str(i["id"]), "text": i["text"]} for i in r.items]
+                doc, failed = r.doc_id, failed if r.doc_id == doc else 0
+                if give_up is not None and failed >= give_up:
+                    rows.append((r.doc_id, r.chunk_id, None, "given up"))
+                    continue
                 try:
-                    rows.append((r.doc_id, r.chunk_id, with_retries(lambda: provider.reply(prompt_of(items, lang, hints=list(r.hints)))), None))
+                    rows.append((r.doc_id, r.chunk_id, with_retries(lambda: provider.reply(r.prompt), wait=getattr(provider, "wait", 1.0)), None))
+                    failed = 0
                 except Exception as e:
                     rows.append((r.doc_id, r.chunk_id, None, type(e).__name__))
+                    failed += 1
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "reply", "error"])
 
-    dealt = chunks.select("doc_id", "chunk_id", "items", "hints").repartition(parallel, "doc_id", "chunk_id")
+    keys = ["doc_id"] if give_up is not None else ["doc_id", "chunk_id"]
+    dealt = chunks.select("doc_id", "chunk_id", "prompt").repartition(parallel, *keys).sortWithinPartitions("doc_id", "chunk_id")
     return dealt.mapInPandas(run, REPLIES.format(id=kind))
 
 
-def one_pass(blocks: DataFrame, provider: Provider, lang: str, parallel: int = 8) -> DataFrame:
-    """blocks (doc_id, ord, chunk_id, text, masked, hints) with ``reply_text`` and ``problems``."""
+def _prompts(chunks: DataFrame, lang: str) -> DataFrame:
+    """chunks (items, hints, glossary, context) with their prompt."""
+
+    @F.pandas_udf("string")
+    def prompt(items: pd.Series, hints: pd.Series, glossary: pd.Series, context: pd.Series) -> pd.Series:
+        return pd.Series([prompt_of(json.loads(i), lang, g or "", c or "", list(h)) for i, h, g, c in zip(items, hints, glossary, context, strict=True)])
+
+    return chunks.withColumn("prompt", prompt(F.to_json("items"), "hints", "glossary", "context"))
+
+
+def one_pass(blocks: DataFrame, provider: Provider, lang: str, parallel: int = 8, give_up: int | None = GIVE_UP) -> DataFrame:
+    """blocks (doc_id, ord, chunk_id, text, masked, hints, glossary, context) with ``reply_text`` and ``problems``.
+
+    A document's glossary goes with each of its chunks, and the context is that of the chunk's first block.
+    """
     items = F.array_sort(F.collect_list(F.struct("ord", "masked.text", "hints")))
-    chunks = blocks.groupBy("doc_id", "chunk_id").agg(items.alias("all"))
-    chunks = chunks.select("doc_id", "chunk_id", F.transform("all", lambda x: F.struct(x["ord"].cast("string").alias("id"), x["text"].alias("text"))).alias("items"), F.array_distinct(F.flatten(F.transform("all", lambda x: x["hints"]))).alias("hints"))
-    replies = call_chunks(chunks, provider, lang, parallel)
+    chunks = blocks.groupBy("doc_id", "chunk_id").agg(items.alias("all"), F.first("glossary").alias("glossary"), F.min_by("context", "ord").alias("context"))
+    hints = F.array_distinct(F.flatten(F.transform("all", lambda x: x["hints"])))
+    chunks = chunks.select("doc_id", "chunk_id", "glossary", "context", F.transform("all", lambda x: F.struct(x["ord"].cast("string").alias("id"), x["text"].alias("text"))).alias("items"), hints.alias("hints"))
+    replies = step(call_chunks(_prompts(chunks, lang), provider, lang, parallel, give_up))
     shape = "struct<items: array<struct<id: string, text: string>>>"
     rows = replies.select("doc_id", "chunk_id", F.explode_outer(F.from_json(T.json_in(F.col("reply")), shape)["items"]).alias("i"))
     rows = rows.select("doc_id", "chunk_id", F.col("i")["id"].try_cast("int").alias("ord"), F.col("i")["text"].alias("raw"))
     rows = rows.groupBy("doc_id", "chunk_id", "ord").agg(F.first("raw").alias("raw"))
     joined = blocks.join(rows, ["doc_id", "chunk_id", "ord"], "left")
     back = protect.unmask(F.coalesce("raw", F.lit("")), F.col("masked.tokens"))
-    joined = joined.withColumn("_back", back).withColumn("reply_text", F.col("_back.text"))
+    joined = step(joined.withColumn("_back", back).withColumn("reply_text", F.col("_back.text")))
     problems = F.concat(F.when(F.col("raw").isNull(), F.array(F.lit("no reply"))).otherwise(F.col("_back.issues")), protect.validate(F.col("masked"), F.col("reply_text"), lang))
     return joined.withColumn("problems", F.array_distinct(problems)).drop("_back", "raw")
 
 
-def translate(blocks: DataFrame, provider: Provider, lang: str = "zh", cache: DataFrame | None = None, budget: int = chunking.CHUNK_BUDGET, token_budget: int | None = None, parallel: int = 8, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def translate(
+    blocks: DataFrame, provider: Provider, lang: str = "zh", cache: DataFrame | None = None, budget: int = chunking.CHUNK_BUDGET, token_budget: int | None = None,
+    parallel: int = 8, glossary: DataFrame | None = None, give_up: int | None = GIVE_UP,
+) -> DataFrame:
     """(doc_id, ord, lang, provider, model, text, quality, attempts, problems) of the blocks that need it.
 
     Blocks with a good stored translation are left out; bad ones are asked for again once, with hints; quality is ok,
-    suspect (problems stay) or failed (no text). With a token budget chunks stop after the one that exceeds it.
-    ``keep`` pins replies (a checkpoint on a cluster), so that no model is called twice.
+    suspect (problems stay) or failed (no text). With a token budget chunks stop after the one that exceeds it. ``glossary``
+    (doc_id, source, target) goes into the prompts, as does the text before each chunk. Tables are translated by cell; their
+    text is the grid as JSON.
     """
-    rows = chunking.select_blocks(blocks, id_col="ord")
+    every = chunking.select_blocks(blocks, id_col="ord")
     if cache is not None:
-        rows = store.cache_misses(rows, cache.where(F.col("lang") == lang), provider.name, provider.model, on=("doc_id", "ord"))
-    rows = chunking.chunk(rows, budget)
+        every = store.cache_misses(every, cache.where(F.col("lang") == lang), provider.name, provider.model, on=("doc_id", "ord"))
+    lines = terms.glossary_lines(glossary) if glossary is not None else None
+    grids = None
+    if "table_rows" in blocks.columns:
+        is_grid = (F.col("type") == "table") & F.coalesce(F.size("table_rows") > 0, F.lit(False))
+        grids = _translated_tables(every.where(is_grid), provider, lang, lines, parallel)
+        every = every.where(~is_grid)
+    rows = chunking.chunk(every, budget)
     if token_budget is not None:
         rows = within_budget(rows, token_budget)
-    rows = rows.select("doc_id", "ord", "chunk_id", "text", protect.mask(F.col("text")).alias("masked")).withColumn("hints", F.array().cast("array<string>"))
-    first = keep(one_pass(rows, provider, lang, parallel))
+    before = chunking.context(blocks).select("doc_id", "ord", "context")
+    rows = rows.select("doc_id", "ord", "chunk_id", "text").join(before, ["doc_id", "ord"], "left")
+    rows = rows.join(lines, "doc_id", "left") if lines is not None else rows.withColumn("glossary", F.lit(None).cast("string"))
+    rows = step(rows.withColumn("masked", protect.mask(F.col("text"))))
+    none = F.array().cast("array<string>")
+    first = step(one_pass(rows.withColumn("hints", none), provider, lang, parallel, give_up))
     bad = first.where(F.size("problems") > 0)
-    second = keep(one_pass(bad.select(*rows.columns[:-1], F.col("problems").alias("hints")), provider, lang, parallel))
+    second = one_pass(bad.select(*rows.columns, F.col("problems").alias("hints")), provider, lang, parallel, give_up)
     again = second.select("doc_id", "ord", F.col("reply_text").alias("text2"), F.col("problems").alias("problems2"), F.lit(True).alias("again"))
     both = first.join(again, ["doc_id", "ord"], "left")
     text = F.coalesce(F.when(~T.blank(F.col("text2")), F.col("text2")), F.col("reply_text"))
     problems = F.when(~T.blank(F.col("text2")), F.col("problems2")).otherwise(F.col("problems"))
     quality = F.when(T.blank(text), "failed").when(F.size(problems) > 0, "suspect").otherwise("ok")
-    return both.select("doc_id", "ord", F.lit(lang).alias("lang"), F.lit(provider.name).alias("provider"), F.lit(provider.model).alias("model"), text.alias("text"), quality.alias("quality"), F.when(F.col("again"), 2).otherwise(1).alias("attempts"), problems.alias("problems"))
+    of = [F.lit(lang).alias("lang"), F.lit(provider.name).alias("provider"), F.lit(provider.model).alias("model")]
+    out = both.select("doc_id", "ord", *of, text.alias("text"), quality.alias("quality"), F.when(F.col("again"), 2).otherwise(1).alias("attempts"), problems.alias("problems"))
+    out = step(out)
+    return out if grids is None else out.unionByName(grids.select("doc_id", "ord", *of, "text", "quality", "attempts", "problems"))
+
+
+def _translated_tables(tables: DataFrame, provider: Provider, lang: str, lines: DataFrame | None, parallel: int) -> DataFrame:
+    """Tables (doc_id, ord, table_rows), a call each, with text (the grid as JSON), quality, attempts and problems.
+
+    Cells are masked one by one; a reply of another shape is none.
+    """
+    width = F.array_max(F.transform("table_rows", lambda r: F.size(r)))
+    cells = tables.select("doc_id", "ord", "table_rows", width.alias("width"), F.posexplode("table_rows").alias("r", "row")).select("doc_id", "ord", "r", F.posexplode("row").alias("c", "cell"))
+    masked = step(cells.withColumn("m", protect.mask(F.col("cell"))))
+    grid = lambda df, cell: df.groupBy("doc_id", "ord", "r").agg(F.array_sort(F.collect_list(F.struct("c", cell.alias("x")))).alias("row")).groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(F.struct("r", F.transform("row", lambda x: x["x"]).alias("row")))).alias("all")).select("doc_id", "ord", F.transform("all", lambda x: x["row"]).alias("grid"))
+    asked = grid(masked, F.col("m.text"))
+    asked = asked.join(lines, "doc_id", "left") if lines is not None else asked.withColumn("glossary", F.lit(None).cast("string"))
+
+    @F.pandas_udf("string")
+    def prompt(grids: pd.Series, glossary: pd.Series) -> pd.Series:
+        return pd.Series([prompts.table(json.loads(g), lang, t or "") for g, t in zip(grids, glossary, strict=True)])
+
+    calls = asked.select("doc_id", F.col("ord").alias("chunk_id"), prompt(F.to_json("grid"), "glossary").alias("prompt"))
+    replies = step(call_chunks(calls, provider, lang, parallel, None))
+    got = F.from_json(T.json_in(F.col("reply")), "struct<rows: array<array<string>>>")["rows"]
+    shaped = asked.select("doc_id", "ord", "grid").join(replies.select("doc_id", F.col("chunk_id").alias("ord"), got.alias("got")), ["doc_id", "ord"], "left")
+    same_shape = F.coalesce(F.transform("grid", lambda r: F.size(r)) == F.transform("got", lambda r: F.size(r)), F.lit(False))
+    shaped = shaped.withColumn("fits", same_shape)
+    found = shaped.where("fits").select("doc_id", "ord", F.posexplode("got").alias("r", "row")).select("doc_id", "ord", "r", F.posexplode("row").alias("c", "raw"))
+    back = masked.join(found, ["doc_id", "ord", "r", "c"]).withColumn("b", protect.unmask(F.coalesce("raw", F.lit("")), F.col("m.tokens")))
+    done = grid(step(back), F.col("b.text")).withColumnRenamed("grid", "reply")
+    rows = tables.select("doc_id", "ord", "table_rows").join(done, ["doc_id", "ord"], "left")
+    quality = F.when(F.col("reply").isNull(), "failed").otherwise(table_quality(F.col("table_rows"), F.col("reply")))
+    rows = rows.withColumn("quality", quality)
+    problems = F.when(F.col("quality") == "failed", F.array(F.lit("shape"))).when(F.col("quality") == "suspect", F.array(F.lit("untouched"))).otherwise(F.array().cast("array<string>"))
+    return step(rows.select("doc_id", "ord", F.coalesce(F.to_json("reply"), F.lit("")).alias("text"), "quality", F.lit(1).alias("attempts"), problems.alias("problems")))
 
 
 def within_budget(chunked: DataFrame, limit: int) -> DataFrame:
@@ -160,13 +233,64 @@ def table_quality(rows: F.Column, reply: F.Column) -> F.Column:
     return F.when(F.coalesce(sizes(rows) != sizes(reply), F.lit(True)), "failed").when((empty > F.size(rows)) | ((width >= 3) & (same > F.size(cells) * UNTOUCHED_SHARE)), "suspect").otherwise("ok")
 
 
-def ask_all(prompts: DataFrame, provider: Provider, parallel: int = 8) -> DataFrame:
-    """prompts (doc_id, prompt) to (doc_id, json): one call each, the JSON recovered from the reply."""
-    kind = dict(prompts.dtypes)["doc_id"]
+def ask_all(asked: DataFrame, provider: Provider, parallel: int = 8) -> DataFrame:
+    """asked (doc_id, prompt) to (doc_id, json): one call each, the JSON recovered from the reply; null after errors. Written down."""
+    calls = asked.select("doc_id", F.lit(0).alias("chunk_id"), "prompt")
+    replies = step(call_chunks(calls, provider, "", parallel, None))
+    return replies.select("doc_id", T.json_in(F.col("reply")).alias("json"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "reply": [with_retries(lambda p=p: provider.reply(p)) for p in b["prompt"]]})
 
-    replies = prompts.select("doc_id", "prompt").repartition(parallel, "doc_id").mapInPandas(run, f"doc_id {kind}, reply string")
-    return replies.select("doc_id", T.json_in(F.col("reply")).alias("json"))
+def summarise(blocks: DataFrame, provider: Provider, lang: str = "zh", cache: DataFrame | None = None, budget: int = chunking.SUMMARY_BUDGET, parallel: int = 8) -> DataFrame:
+    """(doc_id, lang, provider, model, json, markdown): a summary of each document that has none by this provider and model."""
+    packed = chunking.summary_pack(blocks, budget)
+    if cache is not None:
+        stored = cache.where((F.col("lang") == lang) & (F.col("provider") == provider.name) & (F.col("model") == provider.model))
+        packed = packed.join(stored.select("doc_id").distinct(), "doc_id", "left_anti")
+    names = [k for k, _ in export.SUMMARY_SECTIONS]
+
+    @F.pandas_udf("string")
+    def prompt(sources: pd.Series) -> pd.Series:
+        return sources.map(lambda t: prompts.summary(t, lang, names, export.SCALAR_SECTIONS))
+
+    found = ask_all(chunking.summary_source(packed).select("doc_id", prompt("source").alias("prompt")), provider, parallel).where("json IS NOT NULL")
+    of = [F.lit(lang).alias("lang"), F.lit(provider.name).alias("provider"), F.lit(provider.model).alias("model")]
+    return found.select("doc_id", *of, "json", export.summary_markdown(F.col("json")).alias("markdown"))
+
+
+def build_glossary(blocks: DataFrame, provider: Provider, lang: str = "zh", parallel: int = 8) -> DataFrame:
+    """(doc_id, source, target, note): what a model makes of each document's candidate terms, ready for the glossary's upsert."""
+    body = blocks.where(F.col("type").isin("text", "heading", "caption"))
+    candidates = terms.candidate_terms(body, scope=["doc_id"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))).alias("all"))
+    first = body.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("texts"))
+    sample = F.substring(F.array_join(F.transform("texts", lambda x: x["text"]), "\n"), 1, SAMPLE_CHARS)
+    rows = candidates.join(first, "doc_id").select("doc_id", F.transform("all", lambda x: x["term"]).alias("terms"), sample.alias("sample"))
+
+    @F.pandas_udf("string")
+    def prompt(found: pd.Series, samples: pd.Series) -> pd.Series:
+        return pd.Series([prompts.glossary(list(t), s, lang) for t, s in zip(found, samples, strict=True)])
+
+    replies = ask_all(rows.select("doc_id", prompt("terms", "sample").alias("prompt")), provider, parallel)
+    shape = "struct<terms: array<struct<source: string, target: string, note: string>>>"
+    out = replies.select("doc_id", F.posexplode(F.from_json("json", shape)["terms"]).alias("pos", "t"))
+    return terms.usable_terms(out.select("doc_id", "pos", "t.source", "t.target", "t.note"))
+
+
+def ask(blocks: DataFrame, question: str, provider: Provider, lang: str = "zh", k: int = 6, requested: tuple[str, ...] = (), parallel: int = 8) -> DataFrame:
+    """(doc_id, answer, evidence array<struct<id, page, quote>>): a question put to each document, with the blocks it rests on.
+
+    Cited blocks that were among the contexts are the evidence; where none was, the first contexts are.
+    """
+    chosen = step(retrieval.contexts(blocks, question, k, requested))
+    passages = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("id").cast("string").alias("id"), "context"))).alias("all"))
+    rows = passages.select("doc_id", F.to_json(F.transform("all", lambda x: F.struct(x["id"].alias("id"), x["context"].alias("text")))).alias("passages"))
+
+    @F.pandas_udf("string")
+    def prompt(found: pd.Series) -> pd.Series:
+        return found.map(lambda p: prompts.question(question, json.loads(p), lang))
+
+    replies = ask_all(rows.select("doc_id", prompt("passages").alias("prompt")), provider, parallel)
+    parsed = replies.select("doc_id", F.from_json("json", "struct<answer: string, evidence: array<struct<id: string, quote: string>>>").alias("r"))
+    cited = parsed.select("doc_id", F.explode("r.evidence").alias("e")).select("doc_id", F.col("e.id").alias("id"), F.col("e.quote").alias("quote"))
+    proof = retrieval.evidence(cited, chosen.withColumn("id", F.col("id").cast("string")))
+    grouped = proof.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "page", "quote"))).alias("evidence"))
+    return parsed.select("doc_id", F.col("r.answer").alias("answer")).join(grouped, "doc_id", "left")
