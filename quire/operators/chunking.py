@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,26 +52,44 @@ def select_blocks(blocks: DataFrame, ids: list | None = None, id_col: str = "id"
 def chunk(blocks: DataFrame, budget: int = CHUNK_BUDGET, doc: str = "doc_id", order: str = "ord") -> DataFrame:
     """blocks with ``chunk_id``, from 0 in each document: a chunk closes before the block that would exceed the budget.
 
-    A table is a chunk of its own. A fold over a document's costs, not its texts, in one array; the blocks get their chunk
-    back by position, so the array is all that a document needs to have in one place.
+    A table is a chunk of its own. A fold over a document's costs, not its texts, in one array, linear in their number; the
+    blocks get their chunk back by position, so the array is all that a document needs to have in one place.
     """
     is_table = F.col("type") == "table" if "type" in blocks.columns else F.lit(False)
     cost = F.when(is_table, F.lit(-1)).otherwise(T.estimate_tokens(F.col("text")) + BLOCK_OVERHEAD)
     costs = blocks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), cost.alias("c")))).alias("all"))
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).alias("used"), F.lit(True).alias("closed"), F.array().cast("array<int>").alias("ids"))
 
-    def step(acc: Column, x: Column) -> Column:
-        table = x["c"] < 0
-        fresh = table | acc["closed"] | (acc["used"] + x["c"] > budget)
-        number = acc["chunk"] + fresh.cast("int")
-        used = F.when(table, F.lit(0)).when(fresh, x["c"]).otherwise(acc["used"] + x["c"])
-        return F.struct(number.alias("chunk"), used.alias("used"), table.alias("closed"), F.array_append(acc["ids"], number).alias("ids"))
+    @F.pandas_udf("array<int>")
+    def numbers(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda each: _chunk_numbers(each, budget))
 
-    numbered = costs.select(doc, F.arrays_zip(F.transform("all", lambda x: x["o"]).alias("o"), F.aggregate("all", start, step)["ids"].alias("k")).alias("z"))
+    numbered = costs.select(doc, F.arrays_zip(F.transform("all", lambda x: x["o"]).alias("o"), numbers(F.transform("all", lambda x: x["c"])).alias("k")).alias("z"))
     ids = numbered.select(doc, F.explode("z").alias("z")).select(doc, F.col("z")["o"].alias(order), F.col("z")["k"].alias("chunk_id"))
     return blocks.join(ids, [doc, order])
 
 
+def _chunk_numbers(costs: Iterable[int], budget: int) -> list[int]:
+    """The chunk of each cost in order; a negative one is a table."""
+    out, number, used, closed = [], -1, 0, True
+    for c in costs:
+        fresh = c < 0 or closed or used + c > budget
+        number += fresh
+        used = c if fresh else used + c
+        closed = c < 0
+        out.append(number)
+    return out
+
+
+def _fitting(parts: Iterable[int], costs: Iterable[int], budget: int) -> list[bool]:
+    """Which costs are taken, in order: those of part 0 always, others while they fit."""
+    out, used = [], 0
+    for part, c in zip(parts, costs, strict=True):
+        fits = part == 0 or used + c <= budget
+        used += c * fits
+        out.append(bool(fits))
+    return out
+
+
 def estimate(chunked: DataFrame, price_in: float = 1.0, price_out: float = 2.0) -> DataFrame:
     """For all documents: blocks, chunks, tokens in and out, cost in millionths and seconds of local work."""
     each = chunked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), (F.max("chunk_id") + 1).alias("chunks"), F.sum(T.estimate_tokens(F.col("text"))).alias("text"))
@@ -98,13 +119,13 @@ def summary_pack(blocks: DataFrame, budget: int = SUMMARY_BUDGET) -> DataFrame:
     part = F.when(F.col("type") == "heading", 0).when(F.col("type") != "text", 2).when(body <= opening, 1).otherwise(3)
     rows = useful.withColumn("part", part).withColumn("cost", T.estimate_tokens(F.col("text")))
     lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "ord", "cost"))).alias("all"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (x["part"] == 0) | (acc["used"] + x["cost"] <= budget)
-        return F.when(fits, F.struct((acc["used"] + x["cost"]).alias("used"), F.array_append(acc["kept"], x["ord"]).alias("kept"))).otherwise(acc)
+    @F.pandas_udf("array<boolean>")
+    def fitting(parts: pd.Series, costs: pd.Series) -> pd.Series:
+        return pd.Series([_fitting(p, c, budget) for p, c in zip(parts, costs, strict=True)])
 
-    kept = lists.select("doc_id", F.explode(F.aggregate("all", start, step)["kept"]).alias("ord"))
+    taken = F.arrays_zip(F.transform("all", lambda x: x["ord"]).alias("ord"), fitting(F.transform("all", lambda x: x["part"]), F.transform("all", lambda x: x["cost"])).alias("fits"))
+    kept = lists.select("doc_id", F.explode(taken).alias("z")).where("z.fits").select("doc_id", F.col("z.ord").alias("ord"))
     return useful.join(kept, ["doc_id", "ord"])
 
 
