@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -122,11 +123,12 @@ class Network:
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """What the gates of both directions take from words: (words, 6 x HIDDEN)."""
-        out = [np.empty((0, 6 * HIDDEN), np.float32)]
+        out = np.empty((len(words), 6 * HIDDEN), np.float32)
         for i in range(0, len(words), 4096):
             x = self.vectors(words[i : i + 4096])[0]
-            out.append(np.concatenate([x @ self.p["in_f"] + self.p["bias_f"], x @ self.p["in_b"] + self.p["bias_b"]], 1))
-        return np.concatenate(out)
+            out[i : i + 4096, : 3 * HIDDEN] = x @ self.p["in_f"] + self.p["bias_f"]
+            out[i : i + 4096, 3 * HIDDEN :] = x @ self.p["in_b"] + self.p["bias_b"]
+        return out
 
     def read(self, gates: np.ndarray, mask: np.ndarray, direction: str, keep: list | None = None) -> np.ndarray:
         """The states (time, windows, HIDDEN) of one direction, from its gates' inputs (time, windows, 3 x HIDDEN)."""
@@ -179,11 +181,13 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, index into the joined words, mask) of all windows; a text without words has one without words."""
     each = np.maximum(-(-(lengths - WINDOW) // STRIDE), 0) + 1
     doc = np.repeat(np.arange(len(lengths)), each)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
-    first = np.cumsum(lengths) - lengths
-    within = nth[:, None] * STRIDE + np.arange(WINDOW)
-    mask = within < lengths[doc][:, None]
-    return doc, np.where(mask, first[doc][:, None] + within, 0).astype(np.int32), mask
+    nth = (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)).astype(np.int32)
+    first = (np.cumsum(lengths) - lengths).astype(np.int32)
+    within = nth[:, None] * np.int32(STRIDE) + np.arange(WINDOW, dtype=np.int32)
+    mask = within < lengths.astype(np.int32)[doc][:, None]
+    within += first[doc][:, None]
+    within *= mask
+    return doc, within, mask
 
 
 class Scorer:
@@ -270,8 +274,8 @@ def _gradients(net: Network, chosen: list[list[str]], label: np.ndarray, weight:
     return g
 
 
-def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """A network from labelled texts; each clean one counts ``clean_weight`` times."""
+def fit(texts: Iterable[str], toxic: list[int], clean_weight: float = 1.0, epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """A network from labelled texts, which are gone through once; each clean one counts ``clean_weight`` times."""
     label = np.array(toxic, np.float32)
     positive = int(label.sum())
     if not positive or positive == len(label):
@@ -287,7 +291,7 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, epochs: i
         own = np.unique(d)
         seen[own] += 1
         bad[own] += y
-    common = [k for k in np.lexsort((np.array(words), -seen)).tolist() if seen[k] > 1][:VOCABULARY]
+    common = sorted(np.flatnonzero(seen > 1).tolist(), key=lambda k: (-seen[k], words[k]))[:VOCABULARY]
     net = Network.begin({words[k]: i for i, k in enumerate(common, 1)}, seed)
     odds = np.log((bad + 0.1) / (positive + 0.2)) - np.log((seen - bad + 0.5) / (len(docs) - positive + 1))
     # The log-odds enter as a first guess, shrunk for words of few texts.
@@ -298,7 +302,8 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, epochs: i
     rows = np.append(np.concatenate(docs), np.int32(0))[index]
     del index
     # A word of one text says nothing of itself; those of several texts pick the first windows.
-    level = np.where(mask, (odds * np.clip(seen - 1, 0, 5)).astype(np.float32)[rows], -np.inf).max(1)
+    guess = (odds * np.clip(seen - 1, 0, 5)).astype(np.float32)
+    level = np.concatenate([np.where(mask[i : i + 16384], guess[rows[i : i + 16384]], -np.inf).max(1) for i in range(0, len(rows), 16384)])
     r = np.random.default_rng(seed)
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -350,11 +355,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most most_toxic + most_clean ids are sent, and as many texts come back; a repeated id's are reduced where they are.
     sample = rows.join(F.broadcast(some[0].union(some[1])), F.col("id") == F.col("l_id"))
     sample = sample.groupBy("l_id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m"), F.first("y").alias("y")).select("l_id", "m.t", "y").collect()
-    sample = sorted((r.l_id, r.t, r.y) for r in sample)
-    toxic = sum(y for _, _, y in sample)
+    sample.sort(key=lambda r: r.l_id, reverse=True)
+    label = [r.y for r in reversed(sample)]
+    toxic = sum(label)
     clean = len(sample) - toxic
     ratio = (totals.get(0, 0) / clean) / (totals.get(1, 0) / toxic) if clean and toxic else 1.0
-    return fit([t for _, t, _ in sample], [y for _, _, y in sample], ratio)
+    # Each text is let go once it has been read.
+    return fit((sample.pop().t for _ in range(len(sample))), label, ratio)
 
 
 def score(docs: DataFrame, network: Network, text_col: str = "text") -> Column:
