@@ -175,20 +175,32 @@ class Sieve:
         self.bits = bits
         self.sent = values.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
+    def places(self, value: Column) -> list[Column]:
+        """Where the value's bits are, for :func:`sieved`."""
+        return [F.pmod(F.xxhash64(value, F.lit(i)), F.lit(self.bits)) for i in range(4)]
+
     def may_hold(self, value: Column) -> Column:
-        """Whether the column's value may be in the sieve; JVM-side hashes, one look-up in Python."""
+        """Whether the column's value may be in the sieve; JVM-side hashes, one look-up in Python.
+
+        Stages that go through Python anyway take :func:`sieved` there, so that a task needs one worker.
+        """
         sent = self.sent
 
         @F.pandas_udf("boolean")
         def passes(at: pd.DataFrame) -> pd.Series:
-            table = sent.value
-            ok = np.ones(len(at), bool)
-            for c in at.columns:
-                p = at[c].to_numpy().astype(np.uint64)
-                ok &= (table[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-            return pd.Series(ok)
-
-        return passes(F.struct(*[F.pmod(F.xxhash64(value, F.lit(i)), F.lit(self.bits)).alias(f"p{i}") for i in range(4)]))
+            worker_memory("sieve")
+            return pd.Series(sieved(sent.value, [at[c].to_numpy() for c in at.columns]))
+
+        return passes(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(self.places(value))]))
+
+
+def sieved(table: np.ndarray, places: Sequence[np.ndarray]) -> np.ndarray:
+    """Of the places of values whether all their bits are set."""
+    ok = np.ones(len(places[0]), bool)
+    for at in places:
+        p = at.astype(np.uint64)
+        ok &= (table[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return ok
 
 
 def text_steps(texts: Sequence[str | None], most: int = STEP_CHARS) -> Iterator[tuple[int, list[str]]]:

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import Sieve, durable, forget, hot_join, map_texts, salted_join, spare, tuned, worker_memory
+from quire.llm.common import Sieve, durable, forget, hot_join, map_texts, salted_join, sieved, spare, text_steps, tuned, worker_memory
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -247,17 +247,24 @@ def _verify(rows: list[tuple], two: bool) -> list[tuple]:
 
 def _texts(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, chars, packed, n, size, part): the text of one document, that of id ``first``, for each node of parts."""
-    level = 3
+    sieve = Sieve(parts.select(F.xxhash64("first").alias("h")), "h")
+    sent, level = sieve.sent, 3
+    rows = docs.select(*[p.alias(f"p{i}") for i, p in enumerate(sieve.places(F.xxhash64(f"`{id_col}`")))], F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kind = dict(rows.dtypes)["id"]
 
-    def run(texts: list[str]) -> list[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=level)
-        return [pa.array([key_of(ngrams(t)) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([pack.compress(t.encode()) for t in texts], pa.binary())]
+        for b in batches:
+            wanted = pa.array(sieved(sent.value, [b.column(i).to_numpy() for i in range(4)]))
+            ids, texts = b.column(4).filter(wanted), b.column(5).filter(wanted).to_pylist()
+            for first, step in text_steps(texts):
+                columns = [ids.slice(first, len(step)), pa.array([key_of(ngrams(t)) for t in step], pa.binary()), pa.array([len(t) for t in step], pa.int64()), pa.array([pack.compress(t.encode()) for t in step], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "chars", "packed"])
 
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    wanted = Sieve(parts.select(F.xxhash64("first").alias("h")), "h")
-    texts = map_texts(slim.where(wanted.may_hold(F.xxhash64("id"))), "text", ["id"], run, "key binary, chars long, packed binary")
-    rows = salted_join(texts, parts, ["key"], "inner", [F.col("id")]).where(F.col("id").eqNullSafe(F.col("first")))
-    return rows.drop("id", "first")
+    tuned(docs.sparkSession)
+    texts = rows.mapInArrow(run, f"id {kind}, key binary, chars long, packed binary")
+    found = salted_join(texts, parts, ["key"], "inner", [F.col("id")]).where(F.col("id").eqNullSafe(F.col("first")))
+    return found.drop("id", "first")
 
 
 def verified(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -340,7 +347,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class: that of the least id, once if it is repeated.
 
-    Documents whose id is surely none that goes stay as they are; only the others move and are decided by their class.
+    Documents whose id is surely none that goes stay as they are; only the others move. Their ids decide, unless a document
+    that goes shares its id with one that stays: then their n-grams do.
     """
     signed, nodes = classes(docs, id_col, text_col)
     several = nodes.where("n > 1 OR linked").select("key", "n", "class_id", "stays")
@@ -349,22 +357,33 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counted = members.select("id", "key", stays.alias("stays")).groupBy("id", "key", "stays").agg(F.count(F.lit(1)).alias("copies"))
     gone = durable(counted.where("NOT stays OR copies > 1"))
     twice = gone.where("stays").limit(1).count() > 0
-    sieve = Sieve(gone.select(F.xxhash64("id").alias("h")), "h")
-    may, key = spare(docs.columns, "may"), spare(docs.columns, "key")
-    flagged = docs.withColumn(may, sieve.may_hold(F.xxhash64(F.col(f"`{id_col}`"))))
+    ids = durable(gone.groupBy("id").agg(F.sum(F.when(~F.col("stays"), F.col("copies")).otherwise(0)).alias("going")))
+    rows = salted_join(signed.select("id", "key"), ids, ["id"], "inner", [F.col("key")], 8).groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.first("going").alias("going"))
+    shared = ids.where("id IS NULL").limit(1).count() > 0 or rows.where("going < rows").limit(1).count() > 0
+
+    sieve = Sieve(ids.select(F.xxhash64("id").alias("h")), "h")
+    may = spare(docs.columns, "may")
+    own = F.col(f"`{id_col}`")
+    flagged = docs.withColumn(may, sieve.may_hold(F.xxhash64(own)))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    sure, unsure = flagged.where(~F.col(f"`{may}`")).select(*names), flagged.where(F.col(f"`{may}`"))
+    if not shared:
+        key = spare(docs.columns, "gone_id")
+        few = ids.select(F.col("id").alias(key))
+        return sure.unionAll(salted_join(unsure.withColumn(key, own), few, [key], "left_anti", [F.col(f"`{text_col}`")], 8).select(*names))
 
     @F.pandas_udf("binary")
     def key_of_text(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: key_of(ngrams(t or "")))
 
-    unsure = flagged.where(F.col(f"`{may}`")).withColumn(key, key_of_text(F.col(f"`{text_col}`").cast("string")))
+    key = spare([*docs.columns, may], "key")
     others = [spare([*docs.columns, key, may], c) for c in ("class_id", "stays")]
-    decided = salted_join(unsure, several.select(F.col("key").alias(key), F.col("class_id").alias(others[0]), F.col("stays").alias(others[1])), [key], "left", [F.col(f"`{id_col}`")])
-    kept = decided.where(F.col(others[1]).isNull() | F.col(others[1]) & F.col(f"`{id_col}`").eqNullSafe(F.col(others[0])))
+    unsure = unsure.withColumn(key, key_of_text(F.col(f"`{text_col}`").cast("string")))
+    decided = salted_join(unsure, several.select(F.col("key").alias(key), F.col("class_id").alias(others[0]), F.col("stays").alias(others[1])), [key], "left", [own])
+    kept = decided.where(F.col(others[1]).isNull() | F.col(others[1]) & own.eqNullSafe(F.col(others[0])))
     if twice:  # of rows with equal ids and n-grams one stays
         kept = kept.dropDuplicates([key])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return flagged.where(~F.col(f"`{may}`")).select(*names).unionAll(kept.select(*names))
+    return sure.unionAll(kept.select(*names))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_texts, tuned
+from quire.llm.common import map_texts, tuned, worker_memory
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "valid", "known", "context", "border")
@@ -234,6 +234,7 @@ def code_counts(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("pii")
         seen: Counter[int] = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -349,6 +350,7 @@ def redact(docs: DataFrame, accepted: frozenset[int], text_col: str = "text") ->
 
     @F.pandas_udf("string")
     def redacted(texts: pd.Series) -> pd.Series:
+        worker_memory("pii")
         return texts.map(clean)
 
     tuned(docs.sparkSession)
