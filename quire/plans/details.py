@@ -124,13 +124,13 @@ def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH l AS (SELECT doc_id, length(text) % 30 + 5 AS size, text, ord FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS ord FROM documents))
-SELECT doc_id, ord, CASE WHEN size / 10.0 >= 1.6 THEN 1 WHEN size / 10.0 >= 1.25 THEN 2
+SELECT doc_id, ord, coalesce(CASE WHEN size / 10.0 >= 1.6 THEN 1 WHEN size / 10.0 >= 1.25 THEN 2
   WHEN regexp_matches(text, '^\\s*\\d{1,2}(?:\\.\\d{1,2})*\\.?\\s') THEN least(3, greatest(2, len(string_split(regexp_extract(text, '^\\s*(\\d{1,2}(?:\\.\\d{1,2})*)', 1), '.'))))
-  WHEN length(text) < 60 THEN 3 END::BIGINT AS level FROM l"""
+  WHEN length(text) < 60 THEN 3 END, 0)::BIGINT AS level FROM l"""
 )
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = (F.length("text") % 30 + 5).cast("double")
-    return _blocks(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), layout.heading_level(F.col("text"), size, F.lit(10.0)).cast("long").alias("level"))
+    return _blocks(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), F.coalesce(layout.heading_level(F.col("text"), size, F.lit(10.0)), F.lit(0)).cast("long").alias("level"))
 
 
 @query(
