@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,11 +52,92 @@ def members(lines: DataFrame, regions: DataFrame, share: float = INSIDE_TABLE, p
 
 
 def nearest_caption(figures: DataFrame, captions: DataFrame, keys: Sequence[str] = PAGE, gap: float = CAPTION_GAP) -> DataFrame:
-    """figures with ``caption``: the page's nearest caption above or below, less than a gap away; of equals the first."""
-    per_page = captions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "y0", "y1", "text"))).alias("_all"))
-    away = lambda c: F.greatest(c["y0"] - F.col("y1"), F.col("y0") - c["y1"], F.lit(0.0))
-    near = F.filter(F.transform("_all", lambda c: F.struct(away(c).alias("gap"), c["ord"].alias("ord"), c["text"].alias("text"))), lambda c: c["gap"] < gap)
-    return figures.join(per_page, list(keys), "left").withColumn("caption", F.array_min(near)["text"]).drop("_all")
+    """figures with ``caption``: the page's nearest caption above or below, less than a gap away; of equals the first.
+
+    A page's heights and captions are looked at together, sorted, and never as pairs. Sides that are null are open.
+    """
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    heights = [F.col(c).cast("double").alias(f"_{c}") for c in ("y0", "y1")]
+    own = [F.col(k).alias(n) for k, n in names.items()]
+    number = ~F.isnan(F.coalesce("_y0", F.lit(0.0))) & ~F.isnan(F.coalesce("_y1", F.lit(0.0)))
+    spots = figures.select(*own, *heights).where(number).distinct()
+    some = captions.dropna(subset=list(keys))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ord", "text"))
+    some = some.select(*own, *heights, rank.alias("_rank"), "text").where(number)
+    kinds = dict(spots.dtypes)
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names.values()) + ", _y0 double, _y1 double, caption string"
+
+    def fold(page: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        found = _nearest(*_open(page), *_open(near), near["_rank"].to_numpy(), gap)
+        text = dict(zip(near["_rank"], near["text"]))
+        return page.assign(caption=[text.get(r) for r in found])[[*names.values(), "_y0", "_y1", "caption"]]
+
+    near = spots.groupBy(*names.values()).cogroup(some.groupBy(*names.values())).applyInPandas(fold, schema)
+    near = near.where("caption IS NOT NULL").withColumnsRenamed({"_y0": "_top", "_y1": "_bottom"})
+    same = [F.col(k) == F.col(n) for k, n in names.items()] + [F.col(c).cast("double").eqNullSafe(F.col(n)) for c, n in (("y0", "_top"), ("y1", "_bottom"))]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return figures.join(near, on, "left").drop(*names.values(), "_top", "_bottom")
+
+
+def _open(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tops and bottoms, infinite where there is none."""
+    return rows["_y0"].fillna(-np.inf).to_numpy(float), rows["_y1"].fillna(np.inf).to_numpy(float)
+
+
+def _nearest(top: np.ndarray, bottom: np.ndarray, c_top: np.ndarray, c_bottom: np.ndarray, c_rank: np.ndarray, gap: float) -> list[int | None]:
+    """For each height the rank of the nearest caption less than ``gap`` away, the least of equals.
+
+    Boxes whose bottom is above their top, of which pages have none, are looked at one by one. For others: the least rank of captions that touch a height comes from a tree over their bottoms, to which they are added by their
+    tops; the next one below, or above, is the next in order.
+    """
+    best: list[tuple[float, int] | None] = [None] * len(top)
+    odd, c_odd = bottom < top, c_bottom < c_top
+    for i in range(len(top)) if c_odd.any() else np.flatnonzero(odd).tolist():
+        seen = slice(None) if odd[i] else c_odd
+        d = np.maximum(np.maximum(c_top[seen] - bottom[i], top[i] - c_bottom[seen]), 0.0)
+        if len(d) and d.min() < gap:
+            best[i] = (float(d.min()), int(c_rank[seen][d == d.min()].min()))
+    c_top, c_bottom, c_rank = c_top[~c_odd], c_bottom[~c_odd], c_rank[~c_odd]
+    by_top = np.argsort(c_top, kind="stable")
+    # From the lowest bottom up: the places at or behind a bottom are a prefix of the tree.
+    bottoms = np.unique(c_bottom)[::-1]
+    place = len(bottoms) - np.searchsorted(bottoms[::-1], c_bottom, "left")
+    behind = (len(bottoms) - np.searchsorted(bottoms[::-1], top, "left")).tolist()
+    none = np.iinfo(np.int64).max
+    tree = [none] * (len(bottoms) + 1)
+    tops, places, ranks = c_top[by_top].tolist(), place[by_top].tolist(), c_rank[by_top].tolist()
+    added = 0
+    for i in np.argsort(bottom, kind="stable").tolist():
+        while added < len(tops) and tops[added] <= bottom[i]:
+            at = places[added]
+            while at < len(tree):
+                tree[at] = min(tree[at], ranks[added])
+                at += at & -at
+            added += 1
+        at, least = behind[i], none
+        while at:
+            least = min(least, tree[at])
+            at -= at & -at
+        if least < none and gap > 0 and not odd[i] and (best[i] is None or (0.0, least) < best[i]):
+            best[i] = (0.0, least)
+    for places_, away in ((c_top, lambda v, i: v - bottom[i]), (c_bottom, lambda v, i: top[i] - v)):
+        lower = places_ is c_top
+        order = np.lexsort((c_rank, places_))
+        values, first = np.unique(places_[order], return_index=True)
+        least = c_rank[order][first]
+        starts = np.searchsorted(values, bottom, "right") if lower else np.searchsorted(values, top, "left") - 1
+        for i in [i for i, b in enumerate(best) if (b is None or b[0] > 0) and not odd[i]]:
+            j, step = int(starts[i]), 1 if lower else -1
+            if not 0 <= j < len(values):
+                continue
+            d, r = away(values[j], i), least[j]
+            while 0 <= j < len(values) and away(values[j], i) == d:  # two heights may be as far as doubles tell
+                r, j = min(r, least[j]), j + step
+            if d < gap and (best[i] is None or (d, r) < best[i]):
+                best[i] = (d, int(r))
+    return [None if b is None else b[1] for b in best]
 
 
 def figures(images: DataFrame, tables: DataFrame, texts: DataFrame, captions: DataFrame, page_area: Column) -> DataFrame:

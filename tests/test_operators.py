@@ -223,3 +223,26 @@ def test_usage_stream(spark, tmp_path):
     out = usage.usage_windows(stream).writeStream.format("memory").queryName("usage_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     out.awaitTermination(60)
     assert [(r.provider, r.calls, r.tokens) for r in spark.table("usage_out").collect()] == [("a", 2, 12)]
+
+
+def test_nearest_caption_is_that_of_all_pairs_without_pairs(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    side = lambda: rng.choice([None, *range(0, 400, 7)])
+    num = lambda v: None if v is None else float(v)
+    boxes = lambda n: [(rng.choice([None, 1, 2, 3]), k, num(a), num(rng.choice([side(), None if a is None else a + rng.randrange(60)]))) for k in range(n) for a in [side()]]
+    figs = spark.createDataFrame(boxes(300), "page int, figure int, y0 double, y1 double")
+    caps = spark.createDataFrame([(*b, f"c{b[1]}") for b in boxes(25)], "page int, ord int, y0 double, y1 double, text string").where("page IS NULL OR page < 3")
+    got = sorted(regions.nearest_caption(figs, caps, ["page"]).select("figure", "caption").collect())
+    away = F.greatest(F.col("c.y0") - F.col("f.y1"), F.col("f.y0") - F.col("c.y1"), F.lit(0.0))
+    pairs = figs.alias("f").join(caps.alias("c"), "page").where(away < 90).groupBy("figure").agg(F.min(F.struct(away.alias("gap"), "ord", "text"))["text"].alias("caption"))
+    assert got == sorted(figs.join(pairs, "figure", "left").select("figure", "caption").collect())
+    assert len({c for _, c in got}) > 5
+
+    many = spark.range(60_000).select(F.lit(1).alias("page"), F.col("id").alias("ord"), (F.col("id") * 7919 % 100_003 * 10).cast("double").alias("y0"))
+    many = many.withColumns({"y1": F.col("y0") + 5, "text": F.col("ord").cast("string")})
+    began = time.monotonic()
+    assert regions.nearest_caption(many.drop("text", "ord"), many, ["page"]).where("caption IS NOT NULL").count() == 60_000
+    assert time.monotonic() - began < 60  # 3.6 billion pairs
