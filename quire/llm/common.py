@@ -130,13 +130,24 @@ def salted_join(many: DataFrame, few: DataFrame, on: Sequence[str], how: str, sa
 
     ``few`` has one row a key and is repeated ``salts`` times; a key's rows in ``many`` go to ``salts`` tasks by the hash of
     ``salt_by``. ``how`` is inner, left, left_semi or left_anti. Null keys match nothing.
+
+    What Spark may broadcast is broadcast once and needs no salt. Spark takes a repeated table for as small as the table itself,
+    and would broadcast all its copies from the driver, so those are always shuffled.
     """
+    if _may_broadcast(few):
+        return many.join(F.broadcast(few), list(on), how)
     salt = spare([*many.columns, *few.columns], "salt")
     left = many.withColumn(salt, F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    right = few.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    right = few.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)]))).hint("merge")
     return left.join(right, [*on, salt], how).drop(salt)
 
 
+def _may_broadcast(df: DataFrame) -> bool:
+    """Whether the optimizer's size of the table is within the session's limit for broadcasts."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
 def hot_join(many: DataFrame, few: DataFrame, key: str, n: str, salt_by: Sequence[Column], salts: int = 32, share: int = 1000) -> DataFrame:
     """Inner join on a key where ``few`` knows how many rows of ``many`` each key has, in column ``n``.
 

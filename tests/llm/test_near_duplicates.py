@@ -156,3 +156,21 @@ def test_scratch_tables_are_deleted(spark):
     assert len([p for p in os.listdir(path) if p.startswith("table-")]) == 2  # what the result reads
     clean()
     assert not [p for p in os.listdir(path) if p.startswith("table-")]
+
+
+def test_repeated_rows_are_never_broadcast(spark, tmp_path):
+    from quire.llm.common import durable, salted_join
+
+    few = durable(spark.range(2000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("v")))
+    many = spark.range(5000).select((F.col("id") % 2500).alias("k"), F.col("id").alias("n"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in ("10m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            for how, rows in (("inner", 4000), ("left", 5000), ("left_anti", 1000), ("left_semi", 4000)):
+                found = salted_join(many, few, ["k"], how, [F.col("n")])
+                plan = found._jdf.queryExecution().executedPlan().toString()
+                assert not ("BroadcastHashJoin" in plan and "explode" in plan)
+                assert found.count() == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
