@@ -25,4 +25,14 @@ def step(df: DataFrame) -> DataFrame:
     more than its part of one step. The table stays in the shared folder, as a checkpoint would."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.quire_step = path
+    return out
+
+
+def forget(*steps: DataFrame) -> None:
+    """Delete tables of :func:`step` that nothing reads any more."""
+    for s in steps:
+        context = s.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(s.quire_step)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

@@ -155,3 +155,17 @@ def test_recognition_with_an_engine(spark):
     words = adapters.recognise(pages, Engine())
     assert sorted((r.page, r.text, r.conf) for r in words.collect()) == [(0, "first", 0.9), (0, "unsure", 0.2), (1, "second", 0.9), (1, "unsure", 0.2)]
     assert sorted(r.text for r in adapters.ocr_rows(words).collect()) == ["first", "second"]
+
+
+def test_translation_leaves_only_its_results_behind(spark):
+    import os
+
+    from quire.sources.scratch import shared_dir
+
+    where = shared_dir(spark).removeprefix("file:")
+    there = lambda: {n for n in os.listdir(where) if n.startswith("step-")}
+    rows = blocks(spark, [("text", f"Line {i} of the words that are long enough to be looked at for Chinese signs.") for i in range(30)])
+    before = there()
+    out = translate.translate(rows, translate.EchoProvider(), "zh", budget=150)
+    assert len(there() - before) == 2  # texts and tables
+    assert [(r.ord, r.attempts, r.quality) for r in out.orderBy("ord").collect()] == [(i, 2, "suspect") for i in range(30)]
