@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # ---- Fixed values: patterns, word lists and constants that results depend on ----
 
+#: What (?U)\\s matches; trimming it looks at both ends only, a pattern at every character.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CJK = "[一-鿿]"
 TOKEN = r"[A-Za-z][A-Za-z\-]{1,}|\d+(?:\.\d+)?|[一-鿿]+"
 CJK_PER_TOKEN = 1.6
@@ -74,11 +76,11 @@ STRUCTURAL_LABELS = (
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends; SQL's trim takes spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+", "")
+    return F.ltrim(c, F.lit(WHITE))
 
 
 def blank(c: Column) -> Column:
@@ -182,28 +184,33 @@ def is_formula_line(c: Column) -> Column:
     symbols = count_of(s, MATH_CHARS) + count_of(s, MATH_GLYPH)
     sentence = (count_of(s, "[A-Za-z]{3,}") >= 3) & (count_of(s, "[A-Za-z]") >= 18)
     dense = (symbols >= 2) & (symbols / F.greatest(F.length(s), F.lit(1)) >= 0.12)
+    # Most lines have at most one character that could be a symbol, which is too few.
+    usual = r"\p{IsAlphabetic}\p{IsDigit} .,;:'\"()!?"
+    several = matches(s, f"[^{usual}][{usual}]*[^{usual}]")
     return (
-        F.when(s == "", False)
+        F.when((s == "") | (F.length(s) > 110), False)
         .when((F.length(s) <= 3) & matches(s, MATH_GLYPH), True)
-        .when(F.length(s) > 110, False)
         .when(matches(s, EQUATION_NUMBER), True)
-        .otherwise((symbols > 0) & ~sentence & dense)
+        .when(~several, False)
+        .otherwise(dense & ~sentence)
     )
 
 
 def is_prose(c: Column) -> Column:
     s = strip(c)
-    return (s != "") & ~is_formula_line(s) & (count_of(s, "[A-Za-z]{2,}") >= 4) & (F.length(s) >= 30)
+    return (s != "") & (F.length(s) >= 30) & (count_of(s, "[A-Za-z]{2,}") >= 4) & ~is_formula_line(s)
 
 
 def hints_formula(c: Column) -> Column:
     """Short text with the look of a formula that doesn't read like prose."""
-    return matches(c, FORMULA_HINT) & (F.length(c) < 220) & ~is_prose(c)
+    return (F.length(c) < 220) & matches(c, FORMULA_HINT) & ~is_prose(c)
 
 
 def is_section_heading(c: Column) -> Column:
     """A heading by its text alone: a roman or decimal number of at most three levels before words that aren't a measure."""
     s = strip(c)
+    # Nearly all lines begin with neither a number nor a roman one; the rest is asked of others only.
+    begins = F.coalesce(matches(s, r"(?U)^[\dIVX]"), F.lit(False))
     numbered = r"(?sU)^\s*(\d{1,2}(?:\.\d{1,2})*)(\.?)(?=[\s.])\s*(.*)$"
     prefix, dot, rest = F.regexp_extract(s, numbered, 1), F.regexp_extract(s, numbered, 2), strip(F.regexp_extract(s, numbered, 3))
     levels = F.size(F.split(prefix, r"\."))
@@ -212,7 +219,8 @@ def is_section_heading(c: Column) -> Column:
     words_first = matches(rest, r"^[\p{L}\p{N}]") & (F.length(word) >= 2) & (count_of(word, "[A-Za-z]") >= F.greatest(F.lit(1), F.floor(F.length(word) / 2)))
     titled = matches(rest, r"^\p{Lu}") & ~F.lower(word).isin(HEADING_STOPWORDS)
     return F.coalesce(
-        F.when((s == "") | (F.length(s) > 120) | is_page_number(s) | matches(s, r"(?iU)^\s*(figure|table|fig\.|tab\.)\s*\d"), False)
+        F.when(~begins, False)
+        .when((s == "") | (F.length(s) > 120) | is_page_number(s) | matches(s, r"(?iU)^\s*(figure|table|fig\.|tab\.)\s*\d"), False)
         .when((count_of(s, "[A-Za-z一-鿿]") < 4) | (F.length(F.regexp_replace(s, r"(?U)[\W_]+", "")) < 6), False)
         .when(matches(s, ROMAN_SECTION) & (F.length(s) < 80), True)
         .when((prefix == "") | (levels > 3) | prefix.startswith("0."), False)

@@ -51,7 +51,8 @@ def _styled(bit: int, names: Sequence[str], ends: Sequence[str]) -> Column:
 
 def lines(spans: DataFrame) -> DataFrame:
     """Lines in order: text, box, largest size, bold, mean colour, runs of one style, and cells apart by wide gaps."""
-    s = spans.withColumn("t", span_text()).withColumn("b", _styled(16, BOLD_NAMES, BOLD_ENDS)).withColumn("i", _styled(2, ITALIC_NAMES, ITALIC_ENDS))
+    # A page's lines are ordered below: dealt out by page at once, spans are dealt out only once.
+    s = spans.repartition(*PAGE).withColumn("t", span_text()).withColumn("b", _styled(16, BOLD_NAMES, BOLD_ENDS)).withColumn("i", _styled(2, ITALIC_NAMES, ITALIC_ENDS))
     named = F.lower(F.coalesce("font", F.lit(""))).rlike("bold|black")
     channel = lambda shift: F.avg(F.shiftright("color", shift).bitwiseAND(255) / 255.0)
     span = F.struct("span_no", "t", "b", "i", "x0", "x1")
@@ -62,7 +63,10 @@ def lines(spans: DataFrame) -> DataFrame:
         F.struct(channel(16).alias("r"), channel(8).alias("g"), channel(0).alias("b")).alias("colour"),
     )
     rows = rows.withColumn("text", F.array_join(F.transform("spans", lambda x: x["t"]), "")).where(~T.blank(F.col("text")))
-    rows = rows.withColumn("runs", _runs(F.col("spans"))).withColumn("cells", cells(F.col("spans"))).drop("spans")
+    # Without style a line is one run.
+    plain = F.array(F.struct(F.col("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic")))
+    runs = F.when(F.exists("spans", lambda x: x["b"] | x["i"]), _runs(F.col("spans"))).otherwise(plain)
+    rows = rows.withColumn("runs", runs).withColumn("cells", cells(F.col("spans"))).drop("spans")
     order = Window.partitionBy(*PAGE).orderBy(F.round("y0", 1), "x0", "block_no", "line_no")
     return rows.withColumn("line", F.row_number().over(order) - 1).drop("block_no", "line_no")
 
@@ -234,7 +238,8 @@ def side_columns(rows: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
 def paragraphs(rows: DataFrame) -> DataFrame:
     """Lines (with column) grouped to paragraphs, classified: (doc_id, page, column, para, text, type, box, size, tail_full, emphasis).
 
-    Lines with ``cut`` count for the gaps between others but aren't part of the text; ``side`` is a page's side column, if any.
+    Lines with ``cut`` count for the gaps between others but aren't part of the text; ``side`` is a page's side column, if any;
+    ``runs`` may be null where nothing is styled.
     """
     rows = rows if "cut" in rows.columns else rows.withColumn("cut", F.lit(False))
     rows = rows if "side" in rows.columns else rows.withColumn("side", F.lit(None).cast("int"))
@@ -244,23 +249,26 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     height = F.when(F.col("y1") > F.col("y0"), F.col("y1") - F.col("y0"))
     stepped = line_steps(rows, keys, "y0", [F.round("y0", 1), F.col("x0"), F.col("line")])
     limits = stepped.groupBy(*keys).agg(F.array_compact(F.collect_list("step")).alias("steps"), F.coalesce(F.median(height), F.lit(11.0)).alias("h"), F.max("x1").alias("right"))
-    limits = step_limits(limits).drop("steps", "h")
-    stepped = stepped.join(limits, keys).join(margin(rows), list(PAGE), "left")
+    limits = step_limits(limits.where(F.col("column").isNotNull())).groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("limit", "right")))).alias("_limits"))
+    # What holds for a page is joined before lines are put in order, which they then stay in.
+    sizes = rows.groupBy(*PAGE).agg(F.coalesce(F.median(F.when(F.col("size") > 0, F.col("size"))), F.lit(10.0)).alias("median_size"))
+    known = limits.join(sizes, list(PAGE)).join(margin(rows), list(PAGE), "left")
+    stepped = rows.where(F.col("column").isNotNull()).join(known, list(PAGE)).withColumn("_limit", F.element_at("_limits", F.col("column"))).drop("_limits")
     width = F.col("x1") - F.col("x0")
     before = lambda c: F.lag(c).over(order)
     indented = (F.col("x0") > F.col("margin") + INDENT[0]) & (F.col("x0") < F.col("margin") + INDENT[1])
-    median = F.coalesce(F.median(F.when(F.col("size") > 0, F.col("size"))).over(Window.partitionBy(*PAGE)), F.lit(10.0))
-    stepped = stepped.withColumns({"median_size": median, "alone": T.is_standalone(F.col("text")), "indented": F.coalesce(indented, F.lit(False)), "width": width})
+    stepped = stepped.withColumns({"limit": F.col("_limit.limit"), "right": F.col("_limit.right"), "alone": T.is_standalone(F.col("text")), "indented": F.coalesce(indented, F.lit(False)), "width": width}).drop("_limit")
+    stepped = line_steps(stepped, keys, "y0", [F.round("y0", 1), F.col("x0"), F.col("line")])
     jump = F.abs(F.col("size") - before("size")) > F.greatest(F.lit(1.6), before("size") * 0.2)
     indent = F.col("indented") & (F.col("width") >= before("width") * 0.8) & ~before("indented")
     new = F.coalesce((F.col("step") > F.col("limit")) | (F.col("step") < 0) | jump | indent | F.col("alone") | before("alone"), F.lit(True))
-    numbered = stepped.withColumn("_new", new.cast("int")).withColumn("para", F.sum("_new").over(order))
+    numbered = stepped.withColumn("_new", new.cast("int")).withColumns({"para": F.sum("_new").over(order), "_n": F.row_number().over(order)})
     # A heading's lines before others, and lines from a metadata label on, are paragraphs of their own.
-    inside = Window.partitionBy(*keys, "para").orderBy(F.round("y0", 1), "x0", "line")
-    heading = T.is_section_heading(F.col("text")).cast("int")
-    leading = F.min(heading).over(inside.rowsBetween(Window.unboundedPreceding, 0)) == 1
-    label = (T.is_meta_label(T.strip(F.col("text"))) & (F.length(T.strip(F.col("text"))) <= 120) & (F.row_number().over(inside) > 1)).cast("int")
-    part = F.when(leading, 0).otherwise(1 + F.max(label).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    label = T.is_meta_label(T.strip(F.col("text"))) & (F.length(T.strip(F.col("text"))) <= 120) & (F.col("_new") == 0)
+    latest = lambda when: F.max(F.when(when, F.col("_n"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = numbered.withColumns({"_start": latest(F.col("_new") == 1), "_other": latest(~T.is_section_heading(F.col("text"))), "_label": latest(label)})
+    since = lambda c: F.coalesce(F.col(c) >= F.col("_start"), F.lit(False))
+    part = F.when(~since("_other"), 0).otherwise(1 + since("_label").cast("int"))
     numbered = numbered.withColumn("part", part)
     line = F.struct(F.round("y0", 1).alias("y"), F.col("x0"), F.col("line"), T.strip(F.col("text")).alias("text"), F.col("x1"), "runs", F.col("colour") if "colour" in rows.columns else F.lit(None).cast("struct<r:double,g:double,b:double>").alias("colour"))
     grouped = numbered.where(~F.col("cut")).groupBy(*keys, "para", "part").agg(
@@ -272,7 +280,10 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     grouped = grouped.withColumn("tail_full", last >= F.col("right") - F.greatest(F.lit(3.0), 0.015 * F.greatest(F.lit(1.0), last - F.col("x0"))))
     grouped = grouped.withColumn("text", T.repair_hyphens(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))).where("text != ''")
     grouped = grouped.withColumn("type", paragraph_type()).withColumn("faint", F.coalesce(_faint(F.element_at("lines", 1)["colour"]), F.lit(False)))
-    return grouped.withColumn("emphasis", emphasis(F.transform("lines", lambda x: x["runs"]))).drop("right", "lines", "side")
+    plain = lambda x: F.array(F.struct(x["text"].alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic")))
+    styled = F.exists("lines", lambda x: F.coalesce(F.exists(x["runs"], lambda r: r["bold"] | r["italic"]), F.lit(False)))
+    runs = F.when(styled, F.transform("lines", lambda x: F.coalesce(x["runs"], plain(x))))
+    return grouped.withColumn("emphasis", emphasis(runs)).drop("right", "lines", "side")
 
 
 EMPHASIS = "array<struct<start:int,end:int,style:string>>"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quire.operators import layout, regions
 from quire.operators.layout import PAGE
 from quire.sources import adapters
-from quire.sources.scratch import step
+from quire.sources.scratch import forget, step
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -38,21 +38,26 @@ def parse(spans: DataFrame, tables: DataFrame | None = None, images: DataFrame |
     recognised ones (:func:`quire.sources.adapters.ocr_rows`), which replace the lines of pages that are forced to or, in mode
     auto, have little text under large images.
     """
-    lines = layout.lines(spans)
+    lines = layout.lines(spans).drop("cells")
     sheets = spans.groupBy(*PAGE).agg(F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"))
     if words is not None:
         sheets, lines = with_recognised(sheets, lines, images, words, ocr)
     else:
         sheets = sheets.withColumns({"ocr": F.lit(False), "ocr_confidence": F.lit(None).cast("double")})
+    # A run that is the whole line, and plain, says no more than its text.
+    styled = F.exists("runs", lambda r: r["bold"] | r["italic"])
+    lines = lines.withColumn("runs", F.when((F.size("runs") != 1) | styled, F.col("runs")))
     sheets, lines = step(sheets), step(lines)
 
     grids, rest = without_tables(lines, tables)
-    placed = step(placed_lines(rest))
+    placed = placed_lines(rest)
+    forget(lines)
     equations = step(regions.equation_regions(placed))
     marked = step(regions.in_equations(placed, equations))
     paras = step(layout.paragraphs(marked.withColumn("cut", F.col("region").isNotNull()).drop("region")))
 
-    pictures = regions.used_equations(marked, equations)
+    pictures = step(regions.used_equations(marked, equations))
+    forget(marked)
     items = [paras, _formulas(pictures, sheets), _tables(grids, sheets)]
     crops = regions.crop_manifest(None, pictures)
     if images is not None:
@@ -101,20 +106,21 @@ def without_tables(lines: DataFrame, tables: DataFrame | None = None) -> tuple[D
     kept = step(regions.kept_tables(lines, found))
     taken = kept.select(*PAGE, "region", F.lit(True).alias("_taken"))
     rest = regions.members(lines, found).join(taken, [*PAGE, "region"], "left").where("_taken IS NULL").drop("region", "_taken")
-    return kept, step(rest)
+    return kept, rest
 
 
 def placed_lines(lines: DataFrame) -> DataFrame:
     """Lines with column and alignment, ``side`` (a side column of the page) and ``hoisted`` (a rail was split off)."""
-    rows = step(layout.classify_columns(lines, layout.detect_gutter(lines, PAGE, F.col("page_width"))))
+    # Only what pages have goes through the shared folder before lines do, which are wide.
+    rows = layout.classify_columns(lines, step(layout.detect_gutter(lines, PAGE, F.col("page_width"))))
     # A single column may have a rail beside it: only with labels of metadata on its edge.
     single = rows.where("alignment = 'single'")
-    rails = layout.body_start(single, F.col("page_width")).join(layout.railed_pages(single, F.col("page_width")), list(PAGE))
+    rails = step(layout.body_start(single, F.col("page_width")).join(layout.railed_pages(single, F.col("page_width")), list(PAGE)))
     rows = rows.join(rails, list(PAGE), "left").withColumnRenamed("column", "_column").withColumn("hoisted", F.col("start").isNotNull())
     rows = layout.split_rail(rows, F.col("start"), F.col("page_width"))
     rows = rows.withColumns({"column": F.when(F.col("hoisted"), F.col("column")).otherwise(F.col("_column")), "alignment": F.when(F.col("hoisted"), "mixed").otherwise(F.col("alignment"))})
     rows = step(rows.drop("_column", "start"))
-    return rows.join(layout.side_columns(rows), list(PAGE), "left")
+    return rows.join(step(layout.side_columns(rows)), list(PAGE), "left")
 
 
 def _item(rows: DataFrame, sheets: DataFrame, kind: str, part: int, **more: Column) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quire.functions import text as T
 
@@ -63,44 +70,62 @@ def join_cut_paragraphs(blocks: DataFrame) -> DataFrame:
     """Paragraphs that a page or column break cut in two, joined; order is dense again.
 
     What a join does changes what the next one sees, so each document is folded in order; the predicates on texts come
-    precomputed from native expressions, and pages stream through one document at a time.
+    precomputed from native expressions. Documents come one a row, many to a batch, and only what joins look at or change
+    leaves Arrow.
     """
-    # Grids go through the fold as JSON: lists of lists of different lengths don't go through Arrow to pandas.
-    grids = {c: kind for c, kind in blocks.dtypes if kind.startswith("array<array")}
-    blocks = blocks.withColumns({c: F.to_json(c) for c in grids})
-    schema = blocks.schema
-    columns = blocks.columns
-
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
-        rows = [dict(r) for r in doc.sort_values("ord").to_dict("records")]
-        for r in rows:
-            r["flags"] = list(r["flags"]) if r["flags"] is not None else []
-        gone: set[int] = set()
-        margins = _margins(rows)
-        texts = [i for i, r in enumerate(rows) if r["type"] == "text" and not r["_blank"]]
-        for at, i in enumerate(texts):
-            if i in gone:
-                continue
-            tail = rows[i]
-            cut = "tail-full" in tail["flags"]
-            if not (cut or tail["_mid"]):
+    rows = _predicates(blocks)
+    changed = [c for c in ("text", "flags", "bbox", "emphasis") if c in blocks.columns]
+    seen = ["ord", "type", "page", "column", "size", *changed, "_mid", "_opens", "_label", "_head", "_low", "_lower", "_blank"]
+    whole = StructType.fromJson(json.loads(re.sub(r'("(?:nullable|containsNull|valueContainsNull)":)false', r"\1true", blocks.schema.json())))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(whole)
+        for batch in batches:
+            docs = batch.column("rows")
+            every = pa.RecordBatch.from_struct_array(docs.flatten())
+            found = every.select(seen).to_pylist()
+            places, kept = [], []
+            ends = np.cumsum(docs.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            for start, end in zip([0, *ends[:-1]], ends):
+                order = sorted(range(start, end), key=lambda i: found[i]["ord"])
+                own = [found[i] for i in order]
+                gone = _join(own)
+                left = [i for i in range(len(own)) if i not in gone]
+                places += [order[i] for i in left]
+                kept += [own[i] | {"ord": n} for n, i in enumerate(left)]
+            every = every.take(pa.array(places, pa.int64()))
+            fresh = {c: pa.array([r[c] for r in kept], kinds.field(c).type) for c in ("ord", *changed)}
+            yield pa.RecordBatch.from_arrays([fresh[c] if c in fresh else every.column(c).cast(kinds.field(c).type) for c in kinds.names], schema=kinds)
+
+    docs = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).select("rows")
+    return docs.mapInArrow(fold, whole)
+
+
+def _join(rows: list[dict]) -> set[int]:
+    """Join a document's blocks, given in order, in place; which ones went into others."""
+    for r in rows:
+        r["flags"] = r["flags"] if r["flags"] is not None else []
+        r |= {c: math.nan for c in ("page", "column", "size") if r[c] is None}  # equal to nothing
+    gone: set[int] = set()
+    margins = _margins(rows)
+    texts = [i for i, r in enumerate(rows) if r["type"] == "text" and not r["_blank"]]
+    for at, i in enumerate(texts):
+        if i in gone:
+            continue
+        tail = rows[i]
+        cut = "tail-full" in tail["flags"]
+        if not (cut or tail["_mid"]):
+            continue
+        for j in texts[at + 1 : at + 1 + LOOK_AHEAD]:
+            verdict = "next" if j in gone else _continues(rows, gone, margins, i, j, cut)
+            if verdict == "next":
                 continue
-            for j in texts[at + 1 : at + 1 + LOOK_AHEAD]:
-                verdict = "next" if j in gone else _continues(rows, gone, margins, i, j, cut)
-                if verdict == "next":
-                    continue
-                if verdict == "join":
-                    _merge(tail, rows[j])
-                    gone.add(j)
-                break
-        _join_edges(rows, gone)
-        kept = [r for i, r in enumerate(rows) if i not in gone]
-        for n, r in enumerate(kept):
-            r["ord"] = n
-        return pd.DataFrame(kept, columns=list(rows[0]))[columns]
-
-    joined = _predicates(blocks).groupBy("doc_id").applyInPandas(fold, schema)
-    return joined.withColumns({c: F.from_json(c, kind) for c, kind in grids.items()})
+            if verdict == "join":
+                _merge(tail, rows[j])
+                gone.add(j)
+            break
+    _join_edges(rows, gone)
+    return gone
 
 
 def _margins(rows: list[dict]) -> dict[int, float]:

@@ -199,10 +199,24 @@ def rule_tables(lines: DataFrame) -> DataFrame:
                 out.append((page["doc_id"].iloc[0], page["page"].iloc[0], len(out), *box, grid))
         return pd.DataFrame(out, columns=["doc_id", "page", "region", "x0", "y0", "x1", "y1", "rows"])
 
-    found = lines.select(*PAGE, "text", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(fold, "doc_id string, page int, region int, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>")
+    found = _maybe_ruled(lines.select(*PAGE, "text", "x0", "y0", "x1", "y1")).groupBy(*PAGE).applyInPandas(fold, "doc_id string, page int, region int, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>")
     return found.where(~is_pseudo_table(F.col("rows")))
 
 
+def _maybe_ruled(lines: DataFrame) -> DataFrame:
+    """Lines of pages that may hold a ruled table; other pages aren't folded.
+
+    A row of cells is a pair of lines of which one is short, or has a third line on its baseline; pages with fewer of these
+    than a table has rows hold none. Heights are rounded before they are ordered, so the bound is wider by that.
+    """
+    order = Window.partitionBy(*PAGE).orderBy(F.round("y0", 1), "x0")
+    third = F.abs(F.col("y0") - F.lag("y0", 2).over(order)) <= BASELINE + 0.2
+    # str.strip takes these separators too.
+    short = F.length(F.btrim("text", F.lit(T.WHITE + "\x1c\x1d\x1e\x1f"))) <= PROSE_PAIR
+    rows = lines.withColumn("_cell", F.coalesce(short, F.lit(True)) | F.coalesce(third, F.lit(False)))
+    return rows.withColumn("_cells", F.count_if("_cell").over(Window.partitionBy(*PAGE))).where(F.col("_cells") >= LEAST_ROWS).drop("_cell", "_cells")
+
+
 def _box(boxes: list[tuple]) -> tuple:
     return min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)
 
@@ -285,9 +299,10 @@ def equation_regions(lines: DataFrame) -> DataFrame:
     text = T.strip(F.col("text"))
     width = F.col("page_width") if "page_width" in lines.columns else F.lit(float("inf"))
     rows = lines.select(*PAGE, "x0", "y0", "x1", "y1", width.alias("width"), T.is_formula_line(text).alias("formula"), T.is_prose(text).alias("prose"), F.regexp_extract(text, r"^\(\s*(\d{1,3})\s*\)$", 1).alias("number"))
-    # Pages without a formula line aren't folded.
-    some = F.max(F.col("formula")).over(Window.partitionBy(*PAGE))
-    rows = rows.withColumn("some", some).where("some").drop("some")
+    # Pages without formula lines enough for a run, or one and a number, aren't folded.
+    page = Window.partitionBy(*PAGE)
+    rows = rows.withColumns({"_formulas": F.count_if("formula").over(page), "_numbers": F.count_if(F.col("number") != "").over(page)})
+    rows = rows.where((F.col("_formulas") >= BAND_FORMULAS) | ((F.col("_formulas") > 0) & (F.col("_numbers") > 0))).drop("_formulas", "_numbers")
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["y0", "x0"], ignore_index=True)
@@ -371,7 +386,7 @@ def in_equations(lines: DataFrame, found: DataFrame) -> DataFrame:
     """lines with ``region``: the equation that takes the line; headings and prose inside one stay text."""
     text = T.strip(F.col("text"))
     marked = members(lines, found, INSIDE_EQUATION, EQUATION_PAD)
-    return marked.withColumn("region", F.when(~T.is_section_heading(text) & ~T.is_prose(text), F.col("region")))
+    return marked.withColumn("region", F.when(F.col("region").isNotNull() & ~T.is_section_heading(text) & ~T.is_prose(text), F.col("region")))
 
 
 def used_equations(marked: DataFrame, found: DataFrame) -> DataFrame:
